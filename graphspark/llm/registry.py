@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, token_counts, token_files
+from . import pieces, positional, token_counts, token_files
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13, share=20)
+    return positional.digest(found)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.over_limit(counts, 1024)
@@ -28,6 +33,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_pieces": op6_pieces,
     "op9_token_files": op9_token_files,
