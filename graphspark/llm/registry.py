@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, positional, token_counts, token_files
+from . import pieces, positional, simhash, token_counts, token_files
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.digest(found)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.as_hex(simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), most=4, width=4))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.over_limit(counts, 1024)
@@ -34,6 +38,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_simhash": op3_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_pieces": op6_pieces,
     "op9_token_files": op9_token_files,
