@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, positional, simhash, token_counts, token_files
+from . import pieces, positional, simhash, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.digest(found)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, toxicity.learn(docs, toxicity.label_categories(labels), ["junk", "toxic"]))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.as_hex(simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), most=4, width=4))
 
@@ -38,6 +43,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_pieces": op6_pieces,
