@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, runs, text_slices, texts_of, work_table
@@ -303,5 +303,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, most: int = 4, width:
     return marked.join(of_fp, "fp").select(key, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key names its component in ``found``, the result of near_duplicates.
+
+    Of rows that repeat such a key, the first in order of the other columns stays.  Rows
+    without a key cannot be named and stay.
+    """
+    kept = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col(key) == F.col("component_id")).alias("_k")).filter("_k").select(key, "_n")
+    chosen = docs.join(kept, key)
+    alone = chosen.filter("_n = 1").select(docs.columns)
+    order = [F.col(c).asc_nulls_first() for c in docs.columns if c != key]
+    first = chosen.filter("_n > 1").withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_at = 1").select(docs.columns)
+    return alone.unionByName(first).unionByName(docs.filter(F.col(key).isNull()))
+
+
 def as_hex(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -245,6 +245,18 @@ def classify(docs: DataFrame, chain: list[Link], key: str = "doc_id", text: str
     return map_texts(docs, kernel, schema, key, text)
 
 
+def keep(docs: DataFrame, chain: list[Link], category: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are below the threshold of a category, with all their columns."""
+    place = [link.name for link in chain].index(category)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(chain)
+        for batch in text_slices(batches, text):
+            yield batch.filter(pa.array(scorer.score(texts_of(batch, text))[:, place] < chain[place].threshold))
+
+    return docs.mapInArrow(kernel, docs.schema)
+
+
 def label_categories(labels: DataFrame) -> DataFrame:
     """The two categories of the labels table: junk (quality 0) and toxic."""
     return labels.select("doc_id", (1 - F.col("quality")).alias("junk"), F.col("toxic").cast("int").alias("toxic"))
