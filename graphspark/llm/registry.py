@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii, positional, simhash, token_counts, token_files, toxicity
+from . import pieces, pii, positional, simhash, sketches, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
 
 
+def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.digest(sketches.likeness(table(spark, sf_dir, "documents")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     shards = token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_pieces": op6_pieces,
+    "op8_sketches": op8_sketches,
     "op9_token_files": op9_token_files,
     "op10_pii": op10_pii,
 }
