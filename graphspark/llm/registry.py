@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii, positional, simhash, sketches, token_counts, token_files, toxicity
+from . import pieces, pii, positional, repeats, simhash, sketches, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(spark, table(spark, sf_dir, "documents"), least=200))
+
+
 def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.digest(sketches.likeness(table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_pieces": op6_pieces,
+    "op7_repeats": op7_repeats,
     "op8_sketches": op8_sketches,
     "op9_token_files": op9_token_files,
     "op10_pii": op10_pii,
