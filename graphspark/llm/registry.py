@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii, positional, repeats, simhash, sketches, token_counts, token_files, toxicity
+from . import katz, pieces, pii, positional, repeats, simhash, sketches, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.as_hex(simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), most=4, width=4))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.scores(spark, katz.hold_out(docs), "held")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.over_limit(counts, 1024)
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_katz": op4_katz,
     "op5_token_counts": op5_token_counts,
     "op6_pieces": op6_pieces,
     "op7_repeats": op7_repeats,
