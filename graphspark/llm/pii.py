@@ -358,5 +358,8 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
         chosen = F.filter("spans", lambda s: s["kind"].isin(*kinds)) if kinds else F.col("spans")
         return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in BASE]
     return found.select(key, *counts, F.sha2(listed(BASE), 256).alias("base_sha256"), listed(None).alias("spans"))
