@@ -51,6 +51,10 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(add, columns) if columns else F.lit(0.0)
 
 
+def _count(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def score(index: DataFrame, terms: list[str], words: list[str], stats: dict) -> DataFrame:
     """The index with ``score`` and ``matched``; a single projection over it."""
     weight = idf(terms, stats)
@@ -64,11 +68,11 @@ def score(index: DataFrame, terms: list[str], words: list[str], stats: dict) ->
     for t, w in zip(terms, weight, strict=True):
         exact, prefix, inside = name == t, name.startswith(t), name.contains(t)
         before = [words[i - 1] for i, x in enumerate(words) if x == t and i]
-        qualified = F.exists("package_words", lambda p, b=before: p.isin(*b)) & F.col("kind").isin(*SYMBOL_KINDS) if before else F.lit(False)
+        qualified = F.arrays_overlap("package_words", F.array(*map(F.lit, before))) & F.col("kind").isin(*SYMBOL_KINDS) if before else F.lit(False)
         tiered.append(F.when(exact, EXACT_NAME * exact_scale * w).when(prefix, PREFIX_NAME * w).otherwise(0.0))
         parts.append(F.when(exact & qualified, QUALIFIED_NAME * w).otherwise(0.0))
         parts.append(F.when(~prefix & inside, INSIDE_NAME * w).otherwise(0.0))
-        tf = _sum([F.size(F.filter(f"{f}_words", lambda x, t=t: x == t)) / (1 - B + B * F.col(f"{f}_length") / max(1.0, stats[f] or 0.0)) * fw for f, fw in FIELDS.items()])
+        tf = _sum([_count(f"{f}_words", t) / (1 - B + B * F.col(f"{f}_length") / max(1.0, stats[f] or 0.0)) * fw for f, fw in FIELDS.items()])
         near = texts["path"].contains(t) | texts["package"].contains(t) | texts["id"].contains(t)
         in_meta = texts["meta"].contains(t)
         parts.append(F.when(tf > 0, w * (tf * (K1 + 1)) / (tf + K1)).otherwise(F.when(near, INSIDE_SOURCE * w).otherwise(0.0) + F.when(in_meta, INSIDE_META * w).otherwise(0.0)))
