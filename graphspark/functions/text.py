@@ -89,7 +89,19 @@ def clean_path(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^(\./)+", ""), r"(?<=.)/$", "")
 
 
-def path_group(path: Column) -> Column:
-    """The first one or two directories of a path; files at the root are grouped as ``root``."""
-    parts = F.split(path, "/")
-    return F.when(F.coalesce(path, F.lit("")) == "", F.lit("")).when(F.size(parts) == 1, F.lit("root")).when(F.size(parts) == 2, parts[0]).otherwise(F.concat_ws("/", parts[0], parts[1]))
+# Folders below which a further folder names the group.
+GROUP_ROOTS = ("internal", "pkg", "cmd", "src", "app", "lib", "packages", "testdata")
+GROUP_MIDDLES = ("features", "modules", "services", "packages")
+
+
+def path_group(path: Column, kind: Column) -> Column:
+    """The leading folders of a node's path that name its community; a file at the top is in ``root``."""
+    whole = F.regexp_replace(F.regexp_replace(F.coalesce(path, F.lit("")), r"^\./", ""), "^/+|/+$", "")
+    folder = F.when(kind.isin("dir", "package", "module"), whole).when(F.instr(whole, "/") == 0, F.lit("root")).otherwise(F.regexp_replace(whole, "/[^/]*$", ""))
+    parts = F.split(folder, "/")
+
+    def first(n: int) -> Column:
+        return F.array_join(F.slice(parts, 1, n), "/")
+
+    group = F.when((F.size(parts) > 2) & F.get(parts, F.lit(1)).isin(*GROUP_MIDDLES), first(3)).when((F.size(parts) > 1) & parts[0].isin(*GROUP_ROOTS), first(2)).otherwise(first(1))
+    return F.when(whole.isin("", "."), F.lit("")).otherwise(group)

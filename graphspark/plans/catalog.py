@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -443,4 +443,4 @@ def diversify(spark, d):
     return S.load(spark, d, "part").select(F.col("p_partkey").alias("id"), (n <= 2).alias("early"))
 
 
-_ = partial
+
