@@ -37,7 +37,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
+    return pieces.digests(pieces.round_trip(table(spark, sf_dir, "documents"), model))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS t FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS t FROM benchmark),
+s AS (SELECT item, t, least(13, len(t)) AS k FROM b WHERE len(t) > 0),
+w AS (SELECT DISTINCT item, k, array_to_string(t[i : i + k - 1], ' ') AS p FROM (SELECT item, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM s)),
+k AS (SELECT DISTINCT k FROM w),
+o AS (SELECT doc_id, i, k, array_to_string(t[i : i + k - 1], ' ') AS p FROM (SELECT doc_id, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM d, k WHERE len(t) >= k)),
+m AS (SELECT doc_id, i, k, item FROM o JOIN w USING (k, p)),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS x FROM (SELECT DISTINCT doc_id, i, k FROM m)) GROUP BY doc_id),
+n AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+}
