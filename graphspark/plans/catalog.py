@@ -308,7 +308,7 @@ def _levels(seeds: str, pairs: str, depth: int) -> str:
 
 @query("bfs_distance_k3", _levels("SELECT 'customer://1' AS id", "SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges", 3))
 def bfs_distance(spark, d):
-    return V.distances(V.pairs_of(S.relational_graph(spark, d)), spark.createDataFrame([("customer://1",)], "id string"), 3)
+    return V.distances(V.pairs_of(S.relational_graph(spark, d)), spark.createDataFrame([("customer://1",)], "id string"), 3, stepper(spark))
 
 
 @query("reverse_impact_k2", _levels("SELECT 'supplier://1' AS id", f"SELECT DISTINCT dst AS a, src AS b FROM edges WHERE kind IN {sql.listed(IMPACT_KINDS)}", 2))

@@ -127,18 +127,18 @@ def community_assign(spark, d):
 
 @query("context_bfs")
 def context_bfs(spark, d):
-    return R.context(S.relational_graph(spark, d), ["customer://1", "supplier://2"], depth=3, max_nodes=100)
+    return R.context(S.relational_graph(spark, d), ["customer://1", "supplier://2"], depth=3, max_nodes=100, step=stepper(spark))
 
 
 @query("context_dfs")
 def context_dfs(spark, d):
-    return R.context(S.relational_graph(spark, d), ["customer://1", "supplier://2"], depth=3, max_nodes=100, depth_first=True)
+    return R.context(S.relational_graph(spark, d), ["customer://1", "supplier://2"], depth=3, max_nodes=100, depth_first=True, step=stepper(spark))
 
 
 @query("affected_packed")
 def affected_packed(spark, d):
     g = S.relational_graph(spark, d)
-    walked = R.context(G.Graph(g.nodes, A.impact_edges(g)), ["supplier://1"], depth=2, direction="in", hub=-1)
+    walked = R.context(G.Graph(g.nodes, A.impact_edges(g)), ["supplier://1"], depth=2, direction="in", hub=-1, step=stepper(spark))
     return R.pack(walked, g.nodes, budget=1000)
 
 
