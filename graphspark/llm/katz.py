@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import runs, text_slices, texts_of, work_table
 
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 #: Counts above this are not discounted.
 CUT = 5
 START = np.uint64(0x243F6A8885A308D3)
