@@ -309,11 +309,11 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataF
     Of rows that repeat such a key, the first in order of the other columns stays.  Rows
     without a key cannot be named and stay.
     """
-    kept = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col(key) == F.col("component_id")).alias("_k")).filter("_k").select(key, "_n")
+    kept = found.groupBy(key).agg(F.count(F.lit(1)).alias("_graphspark_n"), F.max(F.col(key) == F.col("component_id")).alias("_graphspark_k")).filter("_graphspark_k").select(key, "_graphspark_n")
     chosen = docs.join(kept, key)
-    alone = chosen.filter("_n = 1").select(docs.columns)
+    alone = chosen.filter("_graphspark_n = 1").select(docs.columns)
     order = [F.col(c).asc_nulls_first() for c in docs.columns if c != key]
-    first = chosen.filter("_n > 1").withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_at = 1").select(docs.columns)
+    first = chosen.filter("_graphspark_n > 1").withColumn("_graphspark_at", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_graphspark_at = 1").select(docs.columns)
     return alone.unionByName(first).unionByName(docs.filter(F.col(key).isNull()))
 
 
