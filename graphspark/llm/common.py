@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Texts are handed to the kernels in slices of about this many bytes, so that a batch
 # of very long texts needs no more memory than one of short ones.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ MOST_FEATURES = 4096
 LEAST_DOCS = 5
 STEPS = 200
 DECAY = 3e-4
-WORD_ENTRIES = 400_000
+WORD_ENTRIES = 200_000
 #: Lower-cases A-Z and turns ASCII characters other than letters into spaces.
 LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -67,7 +67,7 @@ class Rows:
 
     def __init__(self, flat: np.ndarray, lengths: np.ndarray, sizes: np.ndarray):
         self.flat, self.lengths, self.sizes = flat, lengths, sizes
-        self.row = np.repeat(np.arange(len(lengths)), lengths)
+        self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
 
     def pick(self, keep: np.ndarray) -> Rows:
         return Rows(self.flat[np.repeat(keep, self.lengths)], self.lengths[keep], self.sizes[keep])
@@ -123,7 +123,7 @@ def predict(link: Link, rows: Rows, earlier: np.ndarray) -> np.ndarray:
     if len(link.ids) and len(rows.flat):
         place = np.minimum(np.searchsorted(link.ids, rows.flat), len(link.ids) - 1)
         known = link.ids[place] == rows.flat
-        once = np.unique(rows.row[known] * len(link.ids) + place[known])
+        once = np.unique(rows.row[known].astype(np.int64) * len(link.ids) + place[known])
         score += np.bincount(once // len(link.ids), weights=link.weights[once % len(link.ids)], minlength=len(score))
     return sigmoid(score)
 
@@ -171,7 +171,7 @@ class WordFeatures:
         for w in set().union(*cut).difference(self.seen):
             self.seen[w] = np.array(features(w), np.int32).tobytes()
         each = [np.unique(np.frombuffer(b"".join(map(self.seen.__getitem__, c)), np.int32)) for c in cut]
-        flat = np.concatenate([np.zeros(0, np.int32), *each]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *each])
         return Rows(flat, np.fromiter(map(len, each), np.int64, len(each)), np.fromiter(map(len, cut), np.int64, len(cut)))
 
 
@@ -190,7 +190,7 @@ class Scorer:
         for w in set().union(*cut).difference(self.seen):
             self.seen[w] = np.array([f for f in features(w) if f in self.known], np.int32).tobytes()
         each = [b"".join(map(self.seen.__getitem__, c)) for c in cut]
-        flat = np.frombuffer(b"".join(each), np.int32).astype(np.int64)
+        flat = np.frombuffer(b"".join(each), np.int32)
         rows = Rows(flat, np.fromiter(map(len, each), np.int64, len(each)) // 4, np.fromiter(map(len, cut), np.int64, len(cut)))
         earlier = np.zeros((len(texts), 0))
         for link in self.chain:
@@ -214,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], key: str =
             folds = [xxhash.xxh32_intdigest(t.encode()) % FOLDS for t in texts]  # copies share a fold
             ends = np.concatenate([[0], np.cumsum(rows.lengths)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(folds, pa.int32()), pa.array(rows.sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.flat.astype(np.int32))), *(batch.column(c) for c in names)],
+                [batch.column(key), pa.array(folds, pa.int32()), pa.array(rows.sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.flat)), *(batch.column(c) for c in names)],
                 ["key", "fold", "size", "flat", *names],
             )
 
@@ -223,9 +223,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], key: str =
     lists = got.column("flat").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
     if not got.num_rows:
-        return train(Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros((0, len(names))), categories, np.zeros(0, np.int64))
+        return train(Rows(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros((0, len(names))), categories, np.zeros(0, np.int64))
     lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    rows = Rows(lists.flatten().to_numpy().astype(np.int64), lengths, got.column("size").to_numpy())
+    rows = Rows(lists.flatten().to_numpy(), lengths, got.column("size").to_numpy())
     y = np.column_stack([got.column(c).to_numpy().astype(float) for c in names])
     return train(rows, y, categories, got.column("fold").to_numpy().astype(np.int64))
 
