@@ -41,7 +41,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, their counts and digests, decoded again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.digests(pieces.decode(pieces.encode(docs, model), model))
+    return pieces.digests(pieces.round_trip(docs, model))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
