@@ -42,6 +42,8 @@ from .ranges import key_bounds, range_of
 MAGIC = b"TOKSHRD1"
 HEAD = struct.Struct("<8Q")
 WORD_ENTRIES = 700_000
+WORDS_A_CALL = 256
+BETWEEN = "\x01"
 #: Characters that Python takes for white space and the tokenizer does not.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -57,6 +59,27 @@ class WordTable:
         self.kind = np.dtype(f"<u{width}")
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
+        # Words are encoded many at a time with a control character as a word between them; its
+        # one id can come from nothing else.
+        alone = self.library.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = alone[0] if len(alone) == 1 else None
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words without special strings, some hundred words a call."""
+        if self.between is None:
+            return self.whole(words)
+        out = []
+        lines = [words[at : at + WORDS_A_CALL] for at in range(0, len(words), WORDS_A_CALL)]
+        texts = [f" {BETWEEN} ".join(x) for x in lines]
+        for line, got in zip(lines, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.int64)
+            ends = np.append(np.flatnonzero(ids == self.between), len(ids)).tolist()
+            if len(ends) != len(line):  # a word holds the control character itself
+                out += self.whole(line)
+                continue
+            raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            out += [raw[a * width : b * width] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+        return out
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,7 +92,7 @@ class WordTable:
             self.ids.clear()
         new = list(set().union(*cut).difference(self.ids))
         if new:
-            self.ids.update(zip(new, self.whole(new), strict=True))
+            self.ids.update(zip(new, self.words(new), strict=True))
         got = self.ids.__getitem__
         return [self.whole([t])[0] if o else b"".join(map(got, c)) for o, t, c in zip(odd, texts, cut, strict=True)]
 
