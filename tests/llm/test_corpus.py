@@ -1,0 +1,348 @@
+"""Every corpus operator against a brute-force version, on a small table with awkward rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from graphspark.llm import katz, pieces, pii, positional, repeats, simhash, sketches, token_counts, token_files, toxicity
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+WORDS = "alpha beta gamma delta The of, and. naïve über 12 x9 don't end; ção".split()
+
+
+def texts():
+    r = random.Random(5)
+    some = [" ".join(r.choices(WORDS, k=r.choice((1, 3, 8, 40, 120)))) for _ in range(40)]
+    long = " ".join(r.choices(WORDS, k=3000))
+    shared = " ".join(r.choices(WORDS, k=60))
+    near = long.replace("gamma", "gamme", 1)
+    odd = ["", None, "   \n\t ", "\x00 a\x1cb  c ", "▁a ▁", "<|endoftext|> x<|endoftext|>", "aaaa" * 100, "  lead", "tail  ", "中文字 ひらがな", "Ünï\xa0code space\r\n\r\n x"]
+    return [*some, long, near, long, shared + " one", "two " + shared, some[0], *odd, None, ""]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x", "src", 7, 1, "h", i % 3) for i, t in enumerate(texts())]
+    # Columns named like the operators' own.
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, k int, h string, _n int").cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def got(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def plain():
+    return {i: t or "" for i, t in enumerate(texts())}
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def test_positional(spark, docs, empty):
+    bench = [(1, "alpha beta"), (2, " ".join(texts()[40].split()[5:30])), (3, None), (4, ""), (2, "gamma delta The"), (5, "zzz yyy")]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    pattern, lower = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {i: i + 32 for i in range(65, 91)}
+    words = lambda t: pattern.findall((t or "").translate(lower))
+    rows = got(positional.digest(positional.contamination(spark, docs, items)))
+    assert len(rows) == len(plain())
+    for i, t in plain().items():
+        own, hit, found = words(t), set(), set()
+        for item, b in bench:
+            w = words(b)
+            for p in ([w[k : k + 13] for k in range(max(1, len(w) - 12))] if w else []):
+                for k in range(len(own) - len(p) + 1):
+                    if own[k : k + len(p)] == p:
+                        hit |= set(range(k, k + len(p)))
+                        found.add(str(item))
+        r = rows[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(own), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(own))
+    assert positional.contamination(spark, empty, items).count() == 0
+    assert positional.contamination(spark, docs, items.limit(0)).filter("n_hit > 0").count() == 0
+    near = positional.proximity_hits(positional.build_index(docs), [("q", [b"alpha", b"beta"])], 2).collect()
+    want = Counter()
+    for i, t in plain().items():
+        w = words(t)
+        a, b = ([k for k, x in enumerate(w) if x == y] for y in ("alpha", "beta"))
+        if a and b:
+            total = {x: sum(words(u).count(x) for u in plain().values()) for x in ("alpha", "beta")}
+            del total
+            want[i] = (sum(any(abs(x - y) <= 2 for y in b) for x in a), sum(any(abs(x - y) <= 2 for y in a) for x in b))
+    assert all(r.n in want[r.doc_id] for r in near) and {r.doc_id for r in near} == {i for i, n in want.items() if n and n[0]}
+
+
+def test_pack_round_trip():
+    x = np.array([0, 1, 127, 128, 300, 16383, 16384, 2**21, 2**28, 2**31])
+    assert positional.unpack(positional.pack(x)).tolist() == x.tolist()
+    assert positional.unpack(positional.pack(x[:0])).tolist() == []
+
+
+def test_toxicity(spark, empty):
+    r = random.Random(1)
+    calm = lambda n: " ".join(r.choices(WORDS, k=n))
+    rows = [(i, calm(60) + (" " + r.choice(("vilefool", "vileoaf")) if i % 4 == 0 else "")) for i in range(400)] + [(400, None), (401, ""), (402, calm(20000))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(300)] + [(9999, 1, 1), (None, 1, 0)], "doc_id long, toxic int, quality int")
+    chain = toxicity.learn(table, toxicity.label_categories(labels), ["junk", "toxic"])
+    found = got(toxicity.classify(table, chain))
+    assert len(found) == len(rows)
+    right = [found[i].toxic == (i % 4 == 0) for i in range(300, 400)]
+    assert sum(right) >= 97 and not found[400].toxic and not found[401].toxic and not found[402].toxic
+    assert toxicity.keep(table, chain, "toxic").count() == sum(not x.toxic for x in found.values())
+    none = toxicity.learn(table, toxicity.label_categories(labels.limit(0)), ["junk", "toxic"])
+    assert toxicity.classify(table, none).filter("toxic").count() == 0
+    assert toxicity.classify(empty, chain).count() == 0
+
+
+def fingerprint(text):
+    w = text.encode().lower().split()
+    s = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def reachable(fp, most):
+    left, out = set(fp), {}
+    while left:
+        todo = [left.pop()]
+        group = set(todo)
+        while todo:
+            x = todo.pop()
+            new = {y for y in left if bin(fp[x] ^ fp[y]).count("1") <= most}
+            left -= new
+            group |= new
+            todo += new
+        out |= dict.fromkeys(group, min(group))
+    return out
+
+
+def test_simhash(spark, docs, empty, monkeypatch):
+    fp = {i: fingerprint(t) for i, t in plain().items()}
+    want = reachable(fp, 4)
+    for chunk in (8192, 3):  # 3: every bucket of more than three is cut into cells
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        rows = got(simhash.as_hex(simhash.near_duplicates(spark, docs)))
+        assert {i: (r.fingerprint, r.component_id) for i, r in rows.items()} == {i: (f"{fp[i]:016x}", want[i]) for i in fp}
+    kept = simhash.one_of_each(docs, simhash.near_duplicates(spark, docs))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
+    assert simhash.near_duplicates(spark, empty).count() == 0
+
+
+def test_simhash_plans_find_all_links(spark):
+    r = random.Random(3)
+    fps = [r.getrandbits(64) for _ in range(150)]
+    fps += [x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 6))) for x in fps for _ in range(2)]
+    signed = np.unique(np.array(fps, np.uint64)).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = reachable(dict(zip(signed, [x & (2**64 - 1) for x in signed], strict=True)), 4)
+    correlation = np.random.default_rng(0).random((64, 64))
+    for thresholds in ((0, 0, 0, 0, 0), (-1, 1, 0, 1), (1, 1, 0), (2, 1)):
+        assert sum(thresholds) == 4 - len(thresholds) + 1
+        plan = simhash.Plan(tuple(map(tuple, simhash.grouped(correlation, len(thresholds)))), thresholds, 0.0)
+        roots = {r.node: r.root for r in simhash.connected_components(spark, simhash.links(spark, df, plan, 4)).collect()}
+        assert {x: roots.get(x, x) for x in signed} == want
+    assert simhash.allocate([[5.0, 9.0], [1.0, 2.0], [7.0, 8.0]], 0) == (7.0, (0, 1, -1))
+
+
+@pytest.mark.parametrize("block", [1 << 22, 50])
+def test_katz(spark, docs, empty, block, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
+    source = docs.select("doc_id", "text")
+    rows = got(katz.scores(spark, katz.hold_out(source.repartition(3) if block == 50 else source), "held"))
+    own = [(i, zlib.crc32(str(i).encode()) % 7 == 2, [*t.encode().lower().split(), b""]) for i, t in plain().items()]
+    c1, c2 = Counter(), Counter()
+    for _, held, w in own:
+        if not held:
+            c1.update(w)
+            c2.update(zip([None, *w[:-1]], w, strict=True))
+    total = sum(c1.values())
+    n1, n2 = Counter(c1.values()), Counter(c2.values())
+    words = katz.Words(total, [n1[r] for r in range(1, 7)])
+    d = [0.0, *katz.discounts([n2[r] for r in range(1, 7)]), 1.0]
+    p1 = lambda w: c1[w] * words.factors[min(c1[w], 6)] * words.scale if c1[w] else words.unknown
+    behind = defaultdict(dict)
+    for (h, w), c in c2.items():
+        behind[h][w] = c
+
+    def p2(h, w):
+        seen = behind.get(h)
+        if not seen:
+            return p1(w)
+        n = sum(seen.values())
+        lost = sum((1 - d[min(c, 6)]) * c for c in seen.values())
+        scale, left = (1 / n, lost / n) if lost > 0 else (1 / (n + 1), 1 / (n + 1))
+        return seen[w] * d[min(seen[w], 6)] * scale if w in seen else left / (1 - sum(map(p1, seen))) * p1(w)
+
+    for h in [None, b"alpha", b"of,", b"nowhere"]:
+        assert math.isclose(sum(p2(h, w) for w in c1) + p2(h, b"never seen"), 1, rel_tol=1e-9)
+    for i, held, w in own:
+        r = rows[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(w), sum(c1[x] > 0 for x in w), total)
+        assert math.isclose(r.base_score, sum(math.log10((c1[x] + 1) / (total + len(c1) + 1)) for x in w), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p2(a, b)) for a, b in zip([None, *w[:-1]], w, strict=True)), rel_tol=1e-9)
+    assert katz.scores(spark, katz.hold_out(empty.select("doc_id", "text")), "held").count() == 0
+
+
+def test_token_counts(docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = got(token_counts.over_limit(token_counts.count_tokens(docs, path), 1024))
+    for i, t in plain().items():
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert (rows[i].n_bytes, rows[i].n_tokens, rows[i].over_limit) == (len(t.encode()), n, n > 1024)
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+def test_pieces(docs, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    one = got(pieces.digests(pieces.round_trip(docs, path)))
+    two = got(pieces.digests(pieces.decode(pieces.encode(docs, path), path)))
+    assert one == two
+    for i, t in plain().items():
+        ids = library.encode(t, add_eos=True)
+        assert (one[i].n_tokens, one[i].ids_sha256, one[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)))
+    assert pieces.round_trip(empty, path).count() == 0
+
+
+def test_repeats(spark, docs, empty):
+    want = plain()
+    starts = Counter()
+    for t in want.values():
+        b = t.encode()
+        starts.update(b[i : i + 200] for i in range(len(b) - 199))
+    for group in (4096, 1):
+        marks = repeats.repeated_windows
+        original = marks.__defaults__
+        marks.__defaults__ = (group,)
+        try:
+            rows = got(repeats.digest(repeats.remove_repeats(spark, docs)))
+        finally:
+            marks.__defaults__ = original
+        for i, t in want.items():
+            b = t.encode()
+            gone = np.zeros(len(b) + 1, bool)
+            for k in range(len(b) - 199):
+                if starts[b[k : k + 200]] > 1:
+                    gone[k : k + 200] = True
+            spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+            r = rows[i]
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(gone.sum()), spans, sha(bytes(c for c, g in zip(b, gone, strict=False) if not g)))
+    assert repeats.remove_repeats(spark, empty).count() == 0
+
+
+def test_factors_and_keep_first():
+    r = random.Random(4)
+    for _ in range(80):
+        t = bytes(r.choices(b"ab", k=r.randint(0, 30)))
+        want = [max([0] + [next(n for n in range(len(t) - i, -1, -1) if t[i : i + n] == t[j : j + n]) for j in range(i)]) for i in range(len(t))]
+        assert repeats.lpf(t).tolist() == want
+    assert repeats.keep_first(b"hello world, hello world!", 8) == b"hello world, !"
+
+
+def test_sketches(spark, docs, empty):
+    order = sorted(plain().items())
+    rows = got(sketches.digest(sketches.likeness(docs)))
+    assert len(rows) == len(order)
+    for n, (i, t) in enumerate(order):
+        after = order[(n + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert rows[i].n_chars == len(t) and rows[i].edited_sha256 == sha(edited)
+        assert 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
+        if t == after:
+            assert rows[i].near_next == 1
+    assert rows[40].fingerprint == rows[42].fingerprint and rows[40].near_next > 0.7
+    small = sketches.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "doc_id", ["t"], rows=7).filter("_guest = 0")
+    assert {r.doc_id: r.next_t for r in small.collect()} == {i: order[(n + 1) % len(order)][1] for n, (i, _) in enumerate(order)}
+    assert sketches.likeness(empty).count() == 0
+    parts = sketches.with_sketch(docs.select("lang", F.coalesce("text", F.lit("")).alias("t")), "t", "sketch")
+    merged = sketches.merge_all(parts, ["lang"]).first().sketch
+    assert merged == sorted({h for r in parts.collect() for h in r.sketch})[: sketches.SIZE]
+
+
+def test_token_files(spark, docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    folder = token_files.new_folder(spark)
+    repeated = docs.select("doc_id", "text").union(docs.select(F.lit(None).cast("long"), "text").limit(2))
+    shards = token_files.write(repeated, folder, path, end_id=2, rows=9)
+    rows = got(token_files.read(spark, folder, shards).filter("doc_id IS NOT NULL"))
+    start = sum(s["ids"] for s in shards) - sum(r.n_tokens for r in rows.values())
+    store = token_files.TokenStore(folder)
+    for i, t in sorted(plain().items()):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        assert store.get(i).tolist() == ids.tolist()
+        start += len(ids)
+    assert store.get(10**9) is None
+    nothing = token_files.new_folder(spark)
+    assert token_files.read(spark, nothing, token_files.write(empty, nothing, path, 2)).count() == 0
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 20000))
+    slots = token_files.PerfectHash.build(keys).slot(keys)
+    assert sorted(slots.tolist()) == list(range(len(keys)))
+
+
+def brute_pii(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_pii(spark, docs, empty):
+    r = random.Random(2)
+    parts = [*"0123456789..@@--+() abC_%", "192.168.1.1", "a@b.c", "4111 1111 1111 1111", " +1 (017) 555-7713", "é", "0004"]
+    for _ in range(5000):
+        t = "".join(r.choices(parts, k=r.randint(0, 25)))
+        assert pii.base_spans(t) == brute_pii(t)
+    field = pii.trained()
+    from graphspark.llm.pii_examples import labelled
+
+    held = labelled(200, 99)
+    finder = pii.Finder(field)
+    hit = wrong = total = 0
+    for (_, want), found in zip(held, finder.added([t for t, _ in held]), strict=True):
+        found = {(k.removeprefix("likely_"), a, b) for k, a, b in found}
+        hit, wrong, total = hit + len(found & set(want)), wrong + len(found - set(want)), total + len(want)
+    assert hit >= 0.9 * total and wrong <= 0.1 * total
+    extra = spark.createDataFrame([(0, "mail a.b@c.de now +1 (017) 555-7713 and token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" é"), (1, None), (2, "")], "doc_id long, text string")
+    rows = got(pii.digest(pii.find(extra, field)))
+    assert (rows[0].n_email, rows[0].n_ip, rows[0].n_card, rows[0].n_phone) == (1, 0, 0, 1) and "secret:" in rows[0].spans
+    assert rows[1].spans == rows[2].spans == "" and rows[1].base_sha256 == sha("")
+    clean = got(pii.redact(extra, field))
+    assert clean[0].text.startswith("mail [EMAIL] now [PHONE]") and clean[1].text is None
+    assert pii.redact(docs, field).count() == docs.count() and pii.find(empty, field).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    field = pii.Field(rng.normal(size=(5, pii.FEATURES, 6)), rng.normal(size=(7, 6)))
+    rows = [rng.integers(0, pii.FEATURES, n) for n in (1, 3, 4)]
+    x, lengths = pii.padded(rows)
+    tags, score = pii.viterbi(field, x, lengths), pii.emissions(field, x)
+    for i, n in enumerate(lengths):
+        value = lambda y: field.step[6, y[0]] + sum(score[i, k, t] for k, t in enumerate(y)) + sum(field.step[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
+        assert tuple(tags[i, :n]) == max(product(range(6), repeat=int(n)), key=value)
