@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import runs, text_slices, texts_of, work_table
+from .positional import pack, unpack
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 19
 #: Counts above this are not discounted.
 CUT = 5
 START = np.uint64(0x243F6A8885A308D3)
@@ -103,7 +104,7 @@ def planes(ids: np.ndarray) -> bytes:
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("vocab", pa.binary()), ("tokens", pa.binary())])
@@ -165,7 +166,7 @@ class Block:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs as history and word numbers, and the pair of every token; the start's number is behind the words'."""
-        before = np.concatenate([[0], self.tokens[:-1]])
+        before = np.concatenate([[0], self.tokens[:-1]]).astype(np.int64)
         before[self.offset == 0] = len(self.vocab)
         width = len(self.vocab) + 1
         pair, at = np.unique(before * width + self.tokens, return_inverse=True)
@@ -182,6 +183,13 @@ def pair_bucket(h: np.ndarray, w: np.ndarray, common: np.ndarray, n: int) -> np.
     return bucket_of(np.where(common, spread ^ (spread >> np.uint64(32)), h), n)
 
 
+def portions(place: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(table partition, its pairs in order) of those that have any; ``order`` sorts ``place``."""
+    found, first = np.unique(place[order], return_index=True)
+    for k, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        yield k, order[a:b]
+
+
 def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of one bucket after another, from batches sorted by bucket."""
     held: list[dict] = []
@@ -215,7 +223,7 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
     buckets = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source.write.bucketBy(buckets, "block").option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
-    n = max(1, blocks.count())  # as many table partitions as blocks: the load of one is that of a block
+    n = max(1, -(-blocks.count() // 2))  # the load of a table partition is that of two blocks
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +243,7 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
             yield pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "stats": [int(total.sum()), int((total > 0).sum()), *seen[1 : CUT + 2].tolist()]}], REPLY)
             ends = np.cumsum([len(x) for x in w])
             for r, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
-                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "block": r["block"], "c": total[at[a:b]].astype("<u8").tobytes()}], REPLY)
+                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "block": r["block"], "c": pack(total[at[a:b]])}], REPLY)
 
     asked = blocks.select("block", "held", "sizes", "vocab", "tokens").mapInArrow(ask_words, "bucket int, block long, w binary, n binary")
     words = work_table(spark, dealt(asked, n).mapInArrow(count_words, REPLY_SQL), "katz-words")
@@ -254,7 +262,7 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
     def known(b: Block, replies: list[dict]) -> np.ndarray:
         counts, at = np.zeros(len(b.vocab), np.int64), bucket_of(b.vocab, n)
         for r in replies:
-            counts[at == r["bucket"]] = np.frombuffer(r["c"], "<u8")
+            counts[at == r["bucket"]] = unpack(r["c"])
         return counts
 
     def opened(b: Block, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -271,41 +279,41 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
                 counts = known(b, b.row["r0"])
                 h, w, at, place, hashes = opened(b, counts)
                 own = np.bincount(at[b.train], minlength=len(h))
+                del at
+                is_common = np.append(counts > limit, True)
                 order = np.argsort(place, kind="stable")
-                edges = np.searchsorted(place[order], np.arange(n + 1))
-                for k in range(n):
-                    p = order[edges[k] : edges[k + 1]]
-                    if len(p):
-                        first = np.flatnonzero(np.diff(h[p], prepend=-1))
-                        row = {
-                            "bucket": k,
-                            "block": b.row["block"],
-                            "h": hashes[h[p[first]]].tobytes(),
-                            "run": np.diff(np.append(first, len(p))).astype("<u4").tobytes(),
-                            "w": b.vocab[w[p]].tobytes(),
-                            "cw": counts[w[p]].astype("<u8").tobytes(),
-                            "n": own[p].astype("<u4").tobytes(),
-                            "common": np.append(counts > limit, True)[h[p[first]]].tobytes(),
-                        }
-                        yield pa.RecordBatch.from_pylist([row], ASK_PAIRS)
+                for k, p in portions(place, order):
+                    first = np.flatnonzero(np.diff(h[p], prepend=-1))
+                    row = {
+                        "bucket": k,
+                        "block": b.row["block"],
+                        "h": hashes[h[p[first]]].tobytes(),
+                        "run": pack(np.diff(np.append(first, len(p)))),
+                        "w": b.vocab[w[p]].tobytes(),
+                        "cw": pack(counts[w[p]]),
+                        "n": pack(own[p]),
+                        "common": is_common[h[p[first]]].tobytes(),
+                    }
+                    yield pa.RecordBatch.from_pylist([row], ASK_PAIRS)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in each_bucket(batches):
             get = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in rows])
             hist, at_h = np.unique(get("h", np.uint64), return_inverse=True)
-            run = get("run", "<u4").astype(np.int64)
+            numbers = lambda c: np.concatenate([unpack(r[c]) for r in rows])
+            run = numbers("run")
             h = np.repeat(at_h, run)
-            w, cw = get("w", np.uint64), get("cw", "<u8")
+            w, cw = get("w", np.uint64), numbers("cw")
             order = np.lexsort((w, h))
             fresh = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
             at = np.empty(len(h), np.int64)
             at[order] = np.cumsum(fresh) - 1
             pick = order[fresh]
-            c = np.bincount(at, weights=get("n", "<u4")).astype(np.int64)
+            c = np.bincount(at, weights=numbers("n")).astype(np.int64)
             of, seen = h[pick], c > 0
             few = np.stack([np.bincount(of[c == r], minlength=len(hist)) for r in range(1, CUT + 1)], 1)
             sums = np.bincount(of, weights=c, minlength=len(hist)).astype(np.int64)
-            mass = np.bincount(of[seen], weights=lowest.p(cw[pick][seen].astype(np.int64)), minlength=len(hist))
+            mass = np.bincount(of[seen], weights=lowest.p(cw[pick][seen]), minlength=len(hist))
             count = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)
             yield pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "stats": [int(c.sum()), int(seen.sum()), *count[1 : CUT + 2].tolist()]}], REPLY)
             is_common = np.zeros(len(hist), bool)
@@ -313,13 +321,13 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
             for j in np.flatnonzero(is_common).tolist():
                 packed = np.concatenate([few[j], [sums[j]]]).astype("<i8").tolist()
                 yield pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "h": int(hist[j].astype(np.int64)), "stats": packed, "mass": float(mass[j])}], REPLY)
-            head = np.column_stack([few, sums]).astype("<u4" if sums.max(initial=0) < 2**32 else "<u8").astype("<u8")
+            head = np.column_stack([few, sums])
             a = x = 0
             for r in rows:
                 hs, size = len(r["h"]) // 8, len(r["w"]) // 8
                 mine = at_h[x : x + hs]
-                data = head[mine].T.tobytes() + mass[mine].tobytes()
-                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "block": r["block"], "c": c[at[a : a + size]].astype("<u4").tobytes(), "few": data}], REPLY)
+                data = mass[mine].tobytes() + pack(head[mine].T.ravel())
+                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "block": r["block"], "c": pack(c[at[a : a + size]]), "few": data}], REPLY)
                 a, x = a + size, x + hs
 
     asked = joined(words).select("block", "held", "sizes", "vocab", "tokens", "r0").mapInArrow(ask_pairs, "bucket int, block long, h binary, run binary, w binary, cw binary, n binary, common binary")
@@ -341,16 +349,14 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
                 h, w, at, place, hashes = opened(b, counts)
                 c = np.zeros(len(h), np.int64)
                 head, mass = np.zeros((len(hashes), CUT + 1), np.int64), np.zeros(len(hashes))
-                order = np.argsort(place, kind="stable")
-                edges = np.searchsorted(place[order], np.arange(n + 1))
+                portion = dict(portions(place, np.argsort(place, kind="stable")))
                 for r in b.row["r1"]:
-                    p = order[edges[r["bucket"]] : edges[r["bucket"] + 1]]
-                    c[p] = np.frombuffer(r["c"], "<u4")
+                    p = portion[r["bucket"]]
+                    c[p] = unpack(r["c"])
                     own = h[p[np.flatnonzero(np.diff(h[p], prepend=-1))]]
                     size = len(own)
-                    data = np.frombuffer(r["few"], "<u8", size * (CUT + 1))
-                    head[own] = data.reshape(CUT + 1, size).T.astype(np.int64)
-                    mass[own] = np.frombuffer(r["few"], float, size, size * (CUT + 1) * 8)
+                    mass[own] = np.frombuffer(r["few"], float, size)
+                    head[own] = unpack(r["few"][8 * size :]).reshape(CUT + 1, size).T
                 if len(common_hash):
                     spot = np.minimum(np.searchsorted(common_hash, hashes), len(common_hash) - 1)
                     is_common = (common_hash[spot] == hashes) & np.append(counts > limit, True)

@@ -38,7 +38,7 @@ def words(text: str) -> list[bytes]:
 def pack(values: np.ndarray) -> bytes:
     """Variable-length coding of small unsigned numbers, seven bits a byte."""
     width = np.ones(len(values), np.int64)
-    for bits in (7, 14, 21, 28):
+    for bits in range(7, 63, 7):
         width += values >= 1 << bits
     at = np.cumsum(width) - width
     out = np.zeros(int(width.sum()), np.uint8)
