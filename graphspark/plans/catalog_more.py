@@ -153,7 +153,7 @@ def affinity(spark, d):
 
 def order_files(spark, d):
     """Orders as requests, their parts as files; parts of a type are a community."""
-    line = S.load(spark, d, "lineitem").filter("l_orderkey < 400").select(F.col("l_orderkey").alias("number"), F.concat(F.lit("./part/"), F.col("l_partkey").cast("string")).alias("raw"))
+    line = S.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("number"), F.concat(F.lit("./part/"), F.col("l_partkey").cast("string")).alias("raw"))
     files = line.select("number", T.clean_path(F.col("raw")).alias("path"))
     nodes = S.load(spark, d, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), F.concat_ws("-", "p_type", "p_brand").alias("community"))
     return files, nodes

@@ -128,6 +128,30 @@ def test_reviews(spark):
     assert {(r.a, r.b, r.kind) for r in rows} == {(1, 3, "file"), (1, 2, "community"), (2, 3, "community")}
 
 
+def test_conflicts_of_all_orders(spark):
+    """Against a plain loop over the whole tables; the highest orders have conflicts too."""
+    import __spark_entry__ as entry
+    import pyarrow.parquet as pq
+
+    community = {r["p_partkey"]: f"{r['p_type']}-{r['p_brand']}" for r in pq.read_table(f"{SF}/part.parquet", columns=["p_partkey", "p_type", "p_brand"]).to_pylist()}
+    files, groups = {}, {}
+    for r in pq.read_table(f"{SF}/lineitem.parquet", columns=["l_orderkey", "l_partkey"]).to_pylist():
+        files.setdefault(r["l_orderkey"], set()).add(f"part/{r['l_partkey']}")
+        if r["l_partkey"] in community:
+            groups.setdefault(r["l_orderkey"], set()).add(community[r["l_partkey"]])
+    want = set()
+    for a in files:
+        for b in files:
+            if a < b:
+                if both := files[a] & files[b]:
+                    want.add((a, b, "file", ",".join(sorted(both))))
+                elif both := groups.get(a, set()) & groups.get(b, set()):
+                    want.add((a, b, "community", ",".join(sorted(both))))
+    found = [tuple(r) for r in entry.queries()["pr_conflicts"](spark, SF).select("a", "b", "kind", "shared").collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert max(r[1] for r in found) > 400
+
+
 def test_spans(spark):
     spans = spark.createDataFrame([("f", 1, 3), ("f", 4, 6), ("f", 9, 9)], "path string, start int, end int")
     assert sorted(tuple(r) for r in E.merge_intervals(spans, ["path"]).select("start", "end").collect()) == [(1, 6), (9, 9)]
