@@ -152,6 +152,19 @@ def test_conflicts_of_all_orders(spark):
     assert max(r[1] for r in found) > 400
 
 
+def test_fragment_of_all_documents(spark):
+    import __spark_entry__ as entry
+    import pyarrow.parquet as pq
+
+    ids = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id"]).column(0).to_pylist()
+    lacks = {(f"note://{i}", "inferred without rationale") for i in ids if i % 20} | {(f"note://{i}", "extracted without evidence") for i in ids if i % 60 == 0}
+    want = lacks | {(f"e{i}", "unknown end") for i in ids if i * 3 not in set(ids)}
+    found = [(r.id, r.problem) for r in entry.queries()["fragment_validate"](spark, SF).collect()]
+    assert len(found) == len(want) and set(found) == want
+    rows = [tuple(r) for r in entry.queries()["fragment_apply"](spark, SF).select("id", "kind", "source").collect()]
+    assert sorted(rows) == sorted([(f"note://{i}", "concept", "test") for i in ids] + [(f"document://{i}", "document", None) for i in ids])
+
+
 def test_spans(spark):
     spans = spark.createDataFrame([("f", 1, 3), ("f", 4, 6), ("f", 9, 9)], "path string, start int, end int")
     assert sorted(tuple(r) for r in E.merge_intervals(spans, ["path"]).select("start", "end").collect()) == [(1, 6), (9, 9)]
