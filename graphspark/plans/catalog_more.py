@@ -144,7 +144,7 @@ def affected_packed(spark, d):
 
 @query("affinity_propagation_k3")
 def affinity(spark, d):
-    found = R.affinity(S.text_graph(spark, d), spark.createDataFrame([("src://src0",)], "id string"))
+    found = R.affinity(S.text_graph(spark, d), spark.createDataFrame([("src://src0",)], "id string"), step=stepper(spark))
     return found.select("id", F.round(F.col("affinity") * 1_000_000).cast("bigint").alias("millionths"))
 
 

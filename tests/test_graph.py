@@ -90,6 +90,14 @@ def test_pack_passes_over_what_does_not_fit(spark):
     assert [r.id for r in R.pack(walked, nodes, budget=40).orderBy("place").collect()] == ["a", "c"]
 
 
+def test_affinity_records_more_than_the_frontier(spark):
+    leaves = [f"l{i}" for i in range(6)]
+    g = graph(spark, [("contains", "h", x) for x in leaves] + [("calls", "l0", "z"), ("calls", "l5", "y")])
+    found = {r.id: r.affinity for r in R.affinity(g, spark.createDataFrame([("h",)], "id string"), frontier=2, step=step).collect()}
+    # l5 has a value but is not among the two that hand theirs on, so y has none.
+    assert found == pytest.approx({"h": 1.0, "z": 12**-0.5} | dict.fromkeys(leaves, 6**-0.5))
+
+
 def test_paths(spark):
     g = graph(spark, [("calls", "b", "a"), ("calls", "a", "c"), ("calls", "c", "d"), ("calls", "a", "x"), ("calls", "x", "d")])
     assert V.shortest_path(g, "b", "d", step=step) == ("directed", ["b", "a", "c", "d"])
