@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,10 +57,10 @@ def reverse_impact(g: Graph, seeds: DataFrame, depth: int, kinds: tuple[str, ...
     return distances(pairs_of(g, "in", kinds), seeds, depth)
 
 
-def shortest_path(g: Graph, source: str, target: str, most: int = 12, step: Step | None = None) -> tuple[str, list[str]]:
+def shortest_path(g: Graph, source: str, target: str, step: Step | None = None) -> tuple[str, list[str]]:
     """(mode, ids): along edges, or, where no such path is, along edges either way.
 
-    Levels grow from the source.  Of several parents a node takes the one first reached, then
+    Levels grow from the source until one is empty or holds the target.  Of several parents a node takes the one first reached, then
     the smaller id; only the path itself is collected.
     """
     step = step or (lambda df: df)
@@ -68,7 +69,7 @@ def shortest_path(g: Graph, source: str, target: str, most: int = 12, step: Step
     for mode, direction in (("directed", "out"), ("undirected_fallback", "both")):
         pairs = step(pairs_of(g, direction))
         known = front = step(g.nodes.filter(F.col("id") == source).select("id", F.lit("").alias("parent"), F.lit(0).alias("level"), F.lit("").alias("order")))
-        for level in range(1, most + 1):
+        for level in count(1):
             reached = pairs.join(front.select(F.col("id").alias("a"), F.concat("order", F.lit("\0"), "id").alias("order")), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("order", "a")).alias("m"))
             front = step(reached.join(known, "id", "left_anti").select("id", F.col("m.a").alias("parent"), F.lit(level).alias("level"), F.col("m.order").alias("order")))
             if not front.take(1):

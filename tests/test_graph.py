@@ -105,6 +105,12 @@ def test_paths(spark):
     assert V.shortest_path(g, "a", "nowhere", step=step)[0] == "none"
 
 
+def test_long_directed_path(spark):
+    chain = [f"n{i:02}" for i in range(15)]
+    g = graph(spark, [("calls", a, b) for a, b in zip(chain, chain[1:], strict=False)] + [("calls", chain[-1], chain[0])])
+    assert V.shortest_path(g, chain[0], chain[-1], step=step) == ("directed", chain)
+
+
 def test_strong_components(spark):
     r = random.Random(3)
     for _ in range(3):
