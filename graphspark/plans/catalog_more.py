@@ -311,8 +311,9 @@ def page_links(spark, d):
 
 @query("markdown_outline", "SELECT doc_id, CAST(1 AS BIGINT) AS sections, CAST(1 AS BIGINT) AS links FROM documents")
 def markdown_outline(spark, d):
-    text = F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n```\n# no heading [x](y)\n~~~\n```\n[see](doc.md)\n"))
-    facts = X.markdown(S.load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("text")))
+    """Sections and links of each document's text, zero where it has none."""
+    docs = S.load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    facts = X.markdown(docs).select("path", "fact").unionByName(docs.select("path", F.lit(None).cast("string").alias("fact")))
     return facts.groupBy(F.col("path").cast("bigint").alias("doc_id")).agg(F.count_if(F.col("fact") == "section").alias("sections"), F.count_if(F.col("fact") == "link").alias("links"))
 
 

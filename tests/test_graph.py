@@ -206,6 +206,15 @@ def test_markdown_fences():
     assert facts == [("section", "A", 1), ("section", "B [x](y.md)", 6), ("link", "y.md", 6)]
 
 
+def test_outline_of_whole_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["# Title 0\n```\n# no heading [x](y)\n~~~\n```\n[see](doc.md)\n", "no marks", None, "", "words\n" * 5000 + "## End\n[a](b) [c](d)\n### More"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.sections, r.links) for r in entry.queries()["markdown_outline"](spark, str(tmp_path)).collect()}
+    assert found == {0: (1, 1), 1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (2, 2)}
+
+
 def test_ignore_rules(spark):
     files = spark.createDataFrame([(p,) for p in ("a.log", "d/a.log", "keep.log", "build/x.go", "src/build/y.go", "docs/a/b.txt")], "path string")
     lines = ["# c", "*.log", "!keep.log", "/build/", "docs/**/b.txt"]
