@@ -22,14 +22,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the row of the smallest doc_id stays (of rows that repeat it, one)."""
-    return simhash.one_of_each(docs, simhash.near_duplicates(spark, docs, most=4, width=4))
+    """Of each component of near copies, the row of the smallest doc_id stays; rows are judged by their own texts."""
+    return simhash.one_near_copy(spark, docs, most=4, width=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words stand in benchmark passages go."""
-    found = positional.contamination(spark, docs, table(spark, sf_dir, "benchmark"), width=13, share=20)
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Rows of whose text a twentieth or more of the words stand in benchmark passages go, whatever their key."""
+    rows = work_table(spark, docs.withColumn("_graphspark_row", F.monotonically_increasing_id()), "numbered-rows")
+    found = positional.contamination(spark, rows.select(F.col("_graphspark_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), width=13, share=20)
+    gone = found.filter("contaminated").select(F.col("doc_id").alias("_graphspark_row"))
+    return rows.join(gone, "_graphspark_row", "left_anti").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -317,5 +317,25 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataF
     return alone.unionByName(first).unionByName(docs.filter(F.col(key).isNull()))
 
 
+def one_near_copy(spark: SparkSession, docs: DataFrame, most: int = 4, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of the rows whose texts are in one component of near copies, one stays: that of the smallest key, null last.
+
+    Decided by the texts alone, so rows that repeat a key with other texts are apart.  Of rows
+    with the same key the first in order of the other columns stays.  Equal texts are reduced
+    to one row before they meet, and components likewise, in part before each shuffle.
+    """
+    same, row = "_graphspark_text", F.struct(*docs.columns)
+    others = [F.col(c) for c in docs.columns if c not in (key, text)]
+
+    def first(df: DataFrame, by: str) -> DataFrame:
+        order = F.struct(F.col(key).isNull(), F.col(key), *others, F.col(same))
+        return df.groupBy(by).agg(F.min_by(F.struct(row.alias("row"), F.col(same).alias("same")), order).alias("_graphspark_first"))
+
+    hashed = docs.withColumn(same, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    texts = work_table(spark, first(hashed, same).select("_graphspark_first.row.*", same), "distinct-texts")
+    found = near_duplicates(spark, texts, most, width, same, text).select(same, F.col("component_id").alias("_graphspark_component"))
+    return first(texts.join(found, same), "_graphspark_component").select("_graphspark_first.row.*")
+
+
 def as_hex(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

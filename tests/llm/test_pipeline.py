@@ -30,3 +30,18 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_that_repeat_a_key(spark):
+    """Near copies and contamination are decided for the row's text, not for its key."""
+    words = lambda k: " ".join(f"w{(i * k) % 997}x{k}" for i in range(1, 120))
+    rows = [(3, words(3)), (7, words(3)), (7, words(5)), (7, words(11)), (None, words(13)), (None, words(5)), (7, words(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(3, words(3)), (7, words(5)), (7, words(11)), (0, words(13))])
+    passage = max(pq.read_table(f"{SF}/benchmark.parquet").column("text").to_pylist(), key=len)
+    rows = [(1, passage), (1, words(3)), (None, passage), (None, words(5)), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema)
+    kept = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(1, words(3)), (None, words(5)), (2, None)} and len(kept) == 3
