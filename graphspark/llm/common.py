@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +41,13 @@ def work_table(spark: SparkSession, df: DataFrame, name: str, *by: str) -> DataF
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+def work_database(spark: SparkSession) -> str:
+    """A database for managed tables in the shared folder; dropping it with CASCADE removes their files."""
+    name = f"graphspark_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_dir(spark)}/{name}'")
+    return name
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the strings of ``column`` in each add up to about SLICE_BYTES."""
     for batch in batches:
@@ -84,8 +90,3 @@ def gather_ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     shift = np.repeat(np.asarray(starts, np.int64) - (np.cumsum(lengths) - lengths), lengths)
     return flat[shift + np.arange(total)]
 
-
-def require(path: str) -> str:
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    return path

@@ -1,40 +1,52 @@
-"""Language-model scores by Katz backoff over words.
-
-Counts of words and of pairs of neighbours are discounted by Good-Turing; what a history loses
-is given to the words not seen behind it, in proportion to their lower-order probability, with
-weights that make every distribution sum to one over the known words and one unknown word.
-
-The corpus is read once into blocks of word numbers, stored in a table bucketed by block.  Model
-tables are partitioned by hash.  A block sends its distinct words and pairs to the partitions of
-the tables as packed arrays and gets back, in the same order, what it needs to know about them;
-no model is copied to all workers.  Pairs are dealt by their history, but the pairs of a history
-that is very common are dealt one by one, and only their sums meet.
-
-Defined results: null and empty texts are a single end token; repeated rows count as often as
-they stand; rows without a key take part in training; without training rows every probability
-that a token needs is that of the unknown word; other columns are ignored; an empty table gives
-an empty table.
+"""Language-model scores by Katz backoff over words, of any order (three words by default).
+
+Counts of n-grams are discounted by Good-Turing, each order by its own counts of counts; what a
+history loses is given to the words not seen behind it, in proportion to their probability
+behind the history without its first word, with weights that make every distribution sum to one
+over the known words and one unknown word.  A token is evaluated from the longest history down.
+
+The corpus is read once into blocks of word numbers, stored in a table bucketed by block.  Words
+get dense numbers, common ones small.  For each order a block sends its distinct n-grams to the
+partitions of that order's table as sorted, delta-coded numbers, with their counts and the counts
+of their lower order, and gets back in the same order what it needs to know; no model is copied
+to all workers.  N-grams are dealt by their history; those of a history that stands in more than
+one of HOT tokens are dealt one by one and only their sums meet.  There are fewer than HOT such
+histories at any size, so their sums are the only part of a model that a driver sees.
+
+Blocks grow with the square root of the corpus, so that a message from a block to a partition
+keeps some hundred n-grams.  Words are told apart by 64-bit hashes (two of 10^8 words are taken
+for one with odds of 3 in 10,000); a model holds up to 2^31 - 2 different words (order 3; fewer bits
+are left a word at higher orders) and refuses more.
+
+Defined results: null and empty texts are a single end token; repeated rows, and rows that share
+a key, are scored each and count as often as they stand; rows without a key take part in
+training; without training rows every probability that a token needs is that of the unknown
+word; other columns, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, text_slices, texts_of, work_table
-from .positional import pack, unpack
+from .common import runs, text_slices, work_database, work_table
+from .positional import coded, pack, unpack
 
 BLOCK_TOKENS = 1 << 19
+#: N-grams that a message should hold in the mean, twice over.
+MESSAGE = 64
 #: Counts above this are not discounted.
 CUT = 5
-START = np.uint64(0x243F6A8885A308D3)
+#: A history with more than one in so many tokens is dealt by n-gram.
+HOT = 1 << 14
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -77,22 +89,32 @@ class Words:
         return np.where(count > 0, seen, self.unknown)
 
 
-def pair_p(c: np.ndarray, lower: np.ndarray, few: np.ndarray, total: np.ndarray, mass: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Probability of a word behind a history.
+class Order:
+    """What is known of one order above words: its factors and the sums of its hot histories.
 
-    ``c``: count of the pair; ``lower``: lower-order probability of the word; for the history,
-    ``few``: how many of its words were seen 1 .. CUT times, ``total``: its count, ``mass``:
-    lower-order probability of its seen words.  A history of which nothing is discounted gives
-    up 1 / (total + 1).
+    Probability of a seen n-gram: its count, times the factor of the count, by the history's
+    ``base``: the history's count, and one more where no word behind it is discounted.  Unseen
+    words share what is lost (one, where nothing is), by their lower-order probability.
     """
-    r = np.arange(1, CUT + 1)
-    lost = (few * (1 - factors[1 : CUT + 1]) * r).sum(1)
-    safe = np.maximum(total, 1)
-    scale = np.where(lost > 0, 1 / safe, 1 / (safe + 1))
-    left = np.where(lost > 0, lost / safe, 1 / (safe + 1))
-    weight = left / np.maximum(1 - mass, 1e-300)
-    seen = c * factors[np.minimum(c, CUT + 1)] * scale
-    return np.where(total == 0, lower, np.where(c > 0, seen, weight * lower))
+
+    def __init__(self, n: list[int], hot: np.ndarray, few: np.ndarray, mass: np.ndarray):
+        self.factors = np.array([0.0, *discounts(n), 1.0])
+        self.hot, self.few, self.mass = hot, few, mass
+
+    def seen(self, count: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return count * self.factors[np.minimum(count, CUT + 1)] / np.maximum(base, 1)
+
+    def base(self, total: np.ndarray, least: np.ndarray) -> np.ndarray:
+        return total + (self.factors[least] >= 1)
+
+    def weight(self, few: np.ndarray, mass: np.ndarray, base: np.ndarray) -> np.ndarray:
+        lost = (few * (1 - self.factors[1 : CUT + 1]) * np.arange(1, CUT + 1)).sum(1)
+        return np.where(lost > 0, lost, 1) / np.maximum(base, 1) / np.maximum(1 - mass, 1e-300)
+
+
+def least_count(few: np.ndarray) -> np.ndarray:
+    """The smallest count behind each history, CUT + 1 for all above CUT."""
+    return np.where((few > 0).any(1), (few > 0).argmax(1) + 1, CUT + 1)
 
 
 # --- blocks --------------------------------------------------------------------------------
@@ -104,98 +126,235 @@ def planes(ids: np.ndarray) -> bytes:
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
 
-BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("vocab", pa.binary()), ("tokens", pa.binary())])
-BLOCK_SQL = "block long, keys array<long>, held array<boolean>, sizes array<long>, vocab binary, tokens binary"
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of all texts, lower-cased A-Z and cut at ASCII blanks, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat = lists.flatten()
+    full = pc.not_equal(flat, "")
+    held = full.to_numpy(zero_copy_only=False)
+    text, _ = runs(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return flat.filter(full).dictionary_encode(), np.bincount(text[held], minlength=len(texts))
 
 
-def blocks_of(docs: DataFrame, key: str, text: str, held: str) -> DataFrame:
-    """Blocks of documents: word numbers in order of frequency, and the words' hashes."""
+def blocks_of(docs: DataFrame, key: str, text: str, held: str, most: int) -> DataFrame:
+    """Blocks of documents: word numbers in order of frequency, the words' hashes and training counts."""
+    kind = dict(docs.dtypes)[key]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
-        number: dict[bytes, int] = {b"": 0}  # the end token
-        keys, flags, sizes, flat, size = [], [], [], [], 0
+        made = size = 0
+        keys, flags, sizes, names, flat = [], [], [], [], []
 
         def close() -> pa.RecordBatch:
-            ids = np.concatenate(flat)
-            order = np.argsort(-np.bincount(ids, minlength=len(number)), kind="stable")
+            vocab = pa.concat_arrays([pa.array([""], pa.large_string()), *names]).dictionary_encode()
+            of = vocab.indices.to_numpy().astype(np.int64)
+            counts, first, ids = np.concatenate(sizes), 1, []
+            for d, x in zip(names, flat, strict=True):
+                ids.append(of[first : first + len(d)][x])
+                first += len(d)
+            row, offset = runs(counts)
+            tokens = np.zeros(len(row), np.int64)  # the end token has number 0
+            tokens[offset < counts[row] - 1] = np.concatenate(ids)
+            order = np.argsort(-np.bincount(tokens, minlength=len(vocab.dictionary)), kind="stable")
             new = np.empty(len(order), np.int64)
             new[order] = np.arange(len(order))
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))[order]
+            tokens = new[tokens]
+            flag = pa.concat_arrays(flags)
+            own = np.bincount(tokens[~flag.to_numpy(zero_copy_only=False)[row]], minlength=len(order))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocab.dictionary.to_pylist()), np.uint64, len(order))[order]
             part = TaskContext.get().partitionId() if TaskContext.get() else 0
-            return pa.RecordBatch.from_pylist([{"block": (part << 32) + made, "keys": keys, "held": flags, "sizes": sizes, "vocab": hashes.tobytes(), "tokens": planes(new[ids])}], BLOCK)
-
-        for batch in text_slices(batches, text):
-            cut = [t.encode().lower().split() for t in texts_of(batch, text)]
-            for c in cut:
-                c.append(b"")
-            for w in set().union(*cut):
-                number.setdefault(w, len(number))
-            keys += batch.column(key).to_pylist()
-            flags += batch.column(held).to_pylist()
-            sizes += map(len, cut)
-            flat.append(np.fromiter((number[w] for c in cut for w in c), np.int64))
-            size += len(flat[-1])
-            if size >= BLOCK_TOKENS:
+            one = lambda x: pa.array([x], pa.binary())
+            as_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            out = [pa.array([(part << 32) + made], pa.int64()), as_list(pa.concat_arrays(keys)), as_list(flag), one(counts.astype("<u4").tobytes()), one(hashes.tobytes()), one(pack(own)), one(planes(tokens))]
+            return pa.RecordBatch.from_arrays(out, ["block", "keys", "held", "sizes", "vocab", "counts", "tokens"])
+
+        for batch in text_slices(batches, "t"):
+            found, n = words_of(batch.column("t"))
+            keys.append(batch.column("k"))
+            flags.append(batch.column("held"))
+            sizes.append(n + 1)
+            names.append(found.dictionary)
+            flat.append(found.indices.to_numpy().astype(np.int64))
+            size += int(n.sum()) + len(n)
+            if size >= most:
                 yield close()
-                made += 1
-                number = {b"": 0}
-                keys, flags, sizes, flat, size = [], [], [], [], 0
+                made, size = made + 1, 0
+                keys, flags, sizes, names, flat = [], [], [], [], []
         if keys:
             yield close()
 
-    return docs.select(F.col(key).cast("long").alias(key), text, held).mapInArrow(kernel, BLOCK_SQL)
+    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(held), F.lit(False)).alias("held"))
+    return source.mapInArrow(kernel, f"block long, keys array<{kind}>, held array<boolean>, sizes binary, vocab binary, counts binary, tokens binary")
 
 
-class Block:
-    """A stored block opened: its tokens, their documents, and its distinct pairs."""
-
-    def __init__(self, row: dict):
-        self.row = row
-        self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.tokens = from_planes(row["tokens"])
-        self.sizes = np.asarray(row["sizes"], np.int64)
-        self.doc, self.offset = runs(self.sizes)
-        self.train = ~np.asarray(row["held"], bool)[self.doc]
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.uint16 if n < 1 << 16 else np.uint32)
 
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.train], minlength=len(self.vocab))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs as history and word numbers, and the pair of every token; the start's number is behind the words'."""
-        before = np.concatenate([[0], self.tokens[:-1]]).astype(np.int64)
-        before[self.offset == 0] = len(self.vocab)
-        width = len(self.vocab) + 1
-        pair, at = np.unique(before * width + self.tokens, return_inverse=True)
-        return pair // width, pair % width, at
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+def pieces(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that end at ``ends``, each beginning where the one before ends."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def coded_pieces(values: np.ndarray, upto: np.ndarray) -> pa.Array:
+    """Numbers coded, cut behind the first ``upto[i]`` of them."""
+    data, ends = coded(values)
+    return pieces(data, np.concatenate([[0], ends])[upto])
+
+
+def steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences to the value before; at ``first`` the value itself."""
+    out = np.diff(values, prepend=0)
+    out[first] = values[first]
+    return out
+
+
+def summed(delta: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The reverse of ``steps``, for runs of these sizes."""
+    total = np.cumsum(delta)
+    sizes = sizes[sizes > 0]
+    first = np.cumsum(sizes) - sizes
+    return total - np.repeat(total[first] - delta[first], sizes)
 
 
-def pair_bucket(h: np.ndarray, w: np.ndarray, common: np.ndarray, n: int) -> np.ndarray:
-    """Pairs are dealt by history, those of a common history by both words."""
-    spread = (h ^ (w * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    return bucket_of(np.where(common, spread ^ (spread >> np.uint64(32)), h), n)
+def numbers(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of several codes, and how many each holds."""
+    data = b"".join(parts)
+    last = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) < 0x80)])
+    upto = last[np.cumsum([len(x) for x in parts])] if parts else np.zeros(0, np.int64)
+    return unpack(data), np.diff(upto, prepend=0)
 
 
-def portions(place: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(table partition, its pairs in order) of those that have any; ``order`` sorts ``place``."""
-    found, first = np.unique(place[order], return_index=True)
-    for k, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-        yield k, order[a:b]
+class Level:
+    """The distinct n-grams of a block for one order, sorted by (history, word), and what is known of them."""
+
+
+class Block:
+    """A stored block opened with the replies to its messages so far.
+
+    Words unknown to the model are one word, with the greatest number.  Local numbers of words
+    and n-grams are in the order of their numbers in the model; history 0 is the start of a text.
+    """
+
+    def __init__(self, row: dict, n: int, order: int):
+        self.row, self.n, self.bits = row, n, 62 // (order - 1)
+        vocab = np.frombuffer(row["vocab"], np.uint64)
+        sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        tokens = from_planes(row["tokens"])
+        ids, counts = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
+        at = bucket_of(vocab, n)
+        by = np.argsort(at, kind="stable")
+        replies = sorted(row["r1"], key=lambda r: r["bucket"])
+        ids[by] = numbers([r["id"] for r in replies])[0]
+        counts[by] = numbers([r["c"] for r in replies])[0]
+        ids[counts == 0] = (1 << self.bits) - 1
+        self.ids, local = np.unique(ids, return_inverse=True)
+        self.token = local[tokens]
+        self.count = np.zeros(len(self.ids), np.int64)
+        self.count[local] = counts
+        self.ends = int(counts[tokens[-1]])  # texts learned from
+        self.sizes = sizes
+        self.doc, self.offset = runs(sizes)
+        self.train = ~np.asarray(row["held"], bool)[self.doc]
+
+    def level(self, below: Level | None, hot_above: int) -> Level:
+        """N-grams of the next order.  ``below``: the order before, with its reply; None for pairs."""
+        x = Level()
+        gram, count, key = (below.at, below.count, below.key) if below else (self.token, self.count, self.ids)
+        x.history = np.concatenate([[0], gram[:-1] + 1])
+        x.history[self.offset == 0] = 0
+        x.total = np.concatenate([[self.ends], count])
+        history_key = np.concatenate([[0], key])
+        width = len(self.ids)
+        grams, x.at = np.unique(x.history * width + self.token, return_inverse=True)
+        h, w = grams // width, grams % width
+        x.key = (history_key[h] << self.bits) | self.ids[w]
+        x.lower = np.empty(len(grams), np.int64)
+        x.lower[x.at] = gram
+        x.hot = x.total > hot_above
+        spread = history_key[h].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        by_gram = spread ^ mixed(self.ids[w].astype(np.uint64) + np.uint64(1))
+        place = bucket_of(mixed(np.where(x.hot[h], by_gram, spread)), self.n)
+        live = np.flatnonzero(x.total[h] > 0)
+        x.order = live[np.argsort(place[live], kind="stable")]
+        x.place, x.h, x.w, x.history_key = place[x.order], h[x.order], w[x.order], history_key
+        x.head = np.flatnonzero((np.diff(x.h, prepend=-1) != 0) | (np.diff(x.place.astype(np.int64), prepend=-1) != 0))
+        x.count_below = count[x.lower[x.order]]
+        x.base_below = below.base[below.history_of[x.lower[x.order[x.head]]]] if below else None
+        x.history_of = h
+        return x
+
+    def message(self, x: Level) -> pa.RecordBatch | None:
+        """One row for each partition of the order's table that has any of the n-grams."""
+        if not len(x.order):
+            return None
+        own = np.bincount(x.at[self.train], minlength=len(x.key))[x.order]
+        first = np.flatnonzero(np.diff(x.place.astype(np.int64), prepend=-1))
+        upto = np.append(first[1:], len(x.place))
+        runs_upto = np.searchsorted(x.head, upto)
+        run_first = np.concatenate([[0], runs_upto[:-1]])
+        size = np.diff(np.append(x.head, len(x.h)))
+        out = {
+            "bucket": pa.array(x.place[first].astype(np.int32)),
+            "block": pa.array(np.full(len(first), self.row["block"])),
+            "h": coded_pieces(steps(x.history_key[x.h[x.head]], run_first), runs_upto),
+            "run": coded_pieces(2 * size + x.hot[x.h[x.head]], runs_upto),
+            "w": coded_pieces(steps(self.ids[x.w], x.head), upto),
+            "n": coded_pieces(own, upto),
+            "low": coded_pieces(x.count_below, upto),
+            "base": coded_pieces(x.base_below, runs_upto) if x.base_below is not None else pieces(np.zeros(0, np.uint8), np.zeros(len(first), np.int64)),
+        }
+        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    def answered(self, x: Level, replies: list[dict], known: Order) -> Level:
+        """Adds counts of the n-grams, bases of the histories, and weights of those that a word needs."""
+        replies = sorted(replies, key=lambda r: r["bucket"])
+        c = numbers([r["c"] for r in replies])[0]
+        x.count = np.zeros(len(x.key), np.int64)
+        x.count[x.order] = c
+        head_h = x.h[x.head]
+        least = np.full(len(x.total), CUT + 1)
+        least[head_h] = np.frombuffer(b"".join(r["low"] for r in replies), np.uint8)
+        few, mass = np.zeros((len(x.total), CUT), np.int64), np.zeros(len(x.total))
+        wanted = head_h[needed(c, x.head, x.hot[head_h])]
+        few[wanted] = numbers([r["few"] for r in replies])[0].reshape(-1, CUT)
+        mass[wanted] = np.frombuffer(b"".join(r["mass"] for r in replies), float)
+        hot = np.unique(head_h[x.hot[head_h]])
+        spot = np.searchsorted(known.hot, x.history_key[hot])
+        few[hot], mass[hot] = known.few[spot], known.mass[spot]
+        least[hot] = least_count(few[hot])
+        x.base = known.base(x.total, least)
+        x.weight = known.weight(few, mass, x.base)
+        return x
+
+    def values(self, levels: list[Level], known: list[Order], lowest: Words) -> np.ndarray:
+        """Probability of every token, from words up to the highest order."""
+        p = lowest.p(self.count[self.token])
+        for x, k in zip(levels, known, strict=True):
+            c, h = x.count[x.at], x.history
+            p = np.where(x.total[h] == 0, p, np.where(c > 0, k.seen(c, x.base[h]), x.weight[h] * p))
+        return p
+
+
+def needed(c: np.ndarray, head: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which runs hold a word that is unseen behind their history, so that its weight is asked for."""
+    return (np.minimum.reduceat(c, head) == 0) & ~hot if len(head) else np.zeros(0, bool)
 
 
 def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of one bucket after another, from batches sorted by bucket."""
     held: list[dict] = []
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+        for row in batch.to_pylist():
             if held and held[0]["bucket"] != row["bucket"]:
                 yield held
                 held = []
@@ -204,186 +363,182 @@ def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].values if c == "keys" else batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
 def dealt(messages: DataFrame, n: int) -> DataFrame:
     return messages.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
 
 
+def reply(n: int, **columns: object) -> pa.RecordBatch:
+    arrays = []
+    for f in REPLY:
+        x = columns.get(f.name)
+        arrays.append(x if isinstance(x, pa.Array) else pa.nulls(n, f.type) if x is None else pa.array(x, f.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=REPLY)
+
+
+def count_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Counts and numbers of the words of a bucket: the place by falling count, times n, and the bucket."""
+    for rows in each_bucket(batches):
+        sizes = np.array([len(r["w"]) // 8 for r in rows])
+        words, at = np.unique(np.frombuffer(b"".join(r["w"] for r in rows), np.uint64), return_inverse=True)
+        total = np.bincount(at, weights=numbers([r["n"] for r in rows])[0], minlength=len(words)).astype(np.int64)
+        ids = np.empty(len(words), np.int64)
+        ids[np.argsort(-total, kind="stable")] = np.arange(len(words))
+        bucket, upto = rows[0]["bucket"], np.cumsum(sizes)
+        ids = ids * n + bucket + 1
+        ids[total == 0] = 0
+        count = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)
+        yield reply(1, bucket=[bucket], stats=[[int(total.sum()), int((total > 0).sum()), *count[1 : CUT + 2].tolist(), int(ids.max(initial=0))]])
+        yield reply(len(rows), bucket=[bucket] * len(rows), block=[r["block"] for r in rows], c=coded_pieces(total[at], upto), id=coded_pieces(ids[at], upto))
+
+
+def count_grams(batches: Iterator[pa.RecordBatch], below: Order | None, lowest: Words) -> Iterator[pa.RecordBatch]:
+    """The table of one order, bucket after bucket: counts of n-grams and, by history, what weights are made of."""
+    for rows in each_bucket(batches):
+        get = lambda c: numbers([r[c] for r in rows])
+        key, per = get("h")
+        key = summed(key, per)
+        run = get("run")[0]
+        hot, run = run % 2 > 0, run // 2
+        head = np.cumsum(run) - run
+        hist, of_run = np.unique(key, return_inverse=True)
+        grams, at = np.unique(np.repeat(of_run, run) << 32 | summed(get("w")[0], run), return_inverse=True)
+        c = np.bincount(at, weights=get("n")[0], minlength=len(grams)).astype(np.int64)
+        of, seen = grams >> 32, c > 0
+        low = np.zeros(len(grams), np.int64)
+        low[at] = get("low")[0]
+        if below is None:
+            p = lowest.p(low)
+        else:
+            base = np.ones(len(hist), np.int64)
+            base[of_run] = get("base")[0]
+            p = below.seen(low, base[of])
+        few = np.stack([np.bincount(of[c == r], minlength=len(hist)) for r in range(1, CUT + 1)], 1)
+        mass = np.bincount(of[seen], weights=p[seen], minlength=len(hist))
+        count = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)
+        bucket = rows[0]["bucket"]
+        yield reply(1, bucket=[bucket], stats=[[int(c.sum()), int(seen.sum()), *count[1 : CUT + 2].tolist(), 0]])
+        is_hot = np.zeros(len(hist), bool)
+        is_hot[of_run] = hot
+        if len(j := np.flatnonzero(is_hot)):
+            yield reply(len(j), bucket=[bucket] * len(j), h=hist[j], stats=few[j].tolist(), part=mass[j])
+        c_all = c[at]
+        want = needed(c_all, head, hot)
+        upto, runs_upto = np.cumsum([0, *run])[np.cumsum(per)], np.cumsum(per)
+        want_upto = np.cumsum([0, *want])[runs_upto]
+        yield reply(
+            len(rows),
+            bucket=[bucket] * len(rows),
+            block=[r["block"] for r in rows],
+            c=coded_pieces(c_all, upto),
+            low=pieces(least_count(few)[of_run].astype(np.uint8), runs_upto),
+            few=coded_pieces(few[of_run[want]].reshape(-1), CUT * want_upto),
+            mass=pieces(mass[of_run[want]].view(np.uint8), 8 * want_upto),
+        )
+
+
 # --- the model -----------------------------------------------------------------------------
 
 
-def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
     """One row for each row of ``docs``; rows with a true ``held`` column are scored but not learned from.
 
     Columns: key, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and
-    score, both log10.
+    score, both log10.  ``order`` is the number of words in the longest n-grams, two or more.
     """
-    name = f"katz_blocks_{uuid.uuid4().hex}"
-    source = blocks_of(docs, key, text, held)
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    buckets = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    source.write.bucketBy(buckets, "block").option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    space = work_database(spark)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").saveAsTable(f"{space}.{name}")
+        return spark.table(f"{space}.{name}")
+
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    most = max(BLOCK_TOKENS, math.isqrt(MESSAGE * size // 5))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks_of(docs, key, text, held, most).write.bucketBy(parts, "block").option("compression", "zstd").saveAsTable(f"{space}.blocks")
+    blocks = spark.table(f"{space}.blocks")
     n = max(1, -(-blocks.count() // 2))  # the load of a table partition is that of two blocks
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = Block({c: batch.column(c)[i].as_py() for c in batch.schema.names})
-                counts, at = b.word_counts().astype("<u4"), bucket_of(b.vocab, n)
-                for k in np.unique(at).tolist():
-                    own = at == k
-                    yield pa.RecordBatch.from_pylist([{"bucket": k, "block": b.row["block"], "w": b.vocab[own].tobytes(), "n": counts[own].tobytes()}], ASK_WORDS)
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in each_bucket(batches):
-            w = [np.frombuffer(r["w"], np.uint64) for r in rows]
-            _, at = np.unique(np.concatenate(w), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([np.frombuffer(r["n"], "<u4") for r in rows])).astype(np.int64)
-            seen = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)
-            yield pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "stats": [int(total.sum()), int((total > 0).sum()), *seen[1 : CUT + 2].tolist()]}], REPLY)
-            ends = np.cumsum([len(x) for x in w])
-            for r, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
-                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "block": r["block"], "c": pack(total[at[a:b]])}], REPLY)
-
-    asked = blocks.select("block", "held", "sizes", "vocab", "tokens").mapInArrow(ask_words, "bucket int, block long, w binary, n binary")
-    words = work_table(spark, dealt(asked, n).mapInArrow(count_words, REPLY_SQL), "katz-words")
+        for row in rows_of(batches):
+            vocab, counts = np.frombuffer(row["vocab"], np.uint64), unpack(row["counts"])
+            at = bucket_of(vocab, n)
+            by = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[by].astype(np.int64), prepend=-1))
+            upto = np.append(first[1:], len(by))
+            out = [pa.array(at[by][first].astype(np.int32)), pa.array(np.full(len(first), row["block"])), pieces(vocab[by].view(np.uint8), 8 * upto), coded_pieces(counts[by], upto)]
+            yield pa.RecordBatch.from_arrays(out, ["bucket", "block", "w", "n"])
+
+    asked = blocks.select("block", "vocab", "counts").mapInArrow(ask_words, "bucket int, block long, w binary, n binary")
+    replies = [stored(dealt(asked, n).mapInArrow(lambda b: count_words(b, n), REPLY_SQL), "replies1")]
     places = [F.coalesce(F.sum(F.element_at("stats", i + 1)), F.lit(0)) for i in range(CUT + 3)]
-    total, vocabulary, *n1 = words.filter("stats IS NOT NULL").agg(*places).first()
-    lowest = Words(total, n1)
-    limit = max(1, total // (4 * n))  # at most 4 n words are more common than this
+    total, vocabulary, *ones, greatest = replies[0].filter("stats IS NOT NULL").agg(*places, F.max(F.element_at("stats", CUT + 4))).first()
+    if greatest is not None and greatest >= (1 << (62 // (order - 1))) - 1:
+        raise ValueError(f"{vocabulary} different words are too many for histories of {order - 1} words")
+    lowest, limit = Words(total, ones), total // HOT
 
-    def joined(*replies: DataFrame) -> DataFrame:
+    def joined(*columns: str) -> DataFrame:
         out = blocks
         for i, r in enumerate(replies):
-            own = r.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "c", "few")).alias(f"r{i}"))
-            out = out.join(own, "block")
-        return out
-
-    def known(b: Block, replies: list[dict]) -> np.ndarray:
-        counts, at = np.zeros(len(b.vocab), np.int64), bucket_of(b.vocab, n)
-        for r in replies:
-            counts[at == r["bucket"]] = unpack(r["c"])
-        return counts
-
-    def opened(b: Block, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of a block: history and word numbers, pair of each token, table partition, history hashes."""
-        h, w, at = b.pairs()
-        hashes = np.append(b.vocab, START)
-        common = np.append(counts > limit, True)
-        return h, w, at, pair_bucket(hashes[h], b.vocab[w], common[h], n), hashes
-
-    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = Block({c: batch.column(c)[i].as_py() for c in batch.schema.names})
-                counts = known(b, b.row["r0"])
-                h, w, at, place, hashes = opened(b, counts)
-                own = np.bincount(at[b.train], minlength=len(h))
-                del at
-                is_common = np.append(counts > limit, True)
-                order = np.argsort(place, kind="stable")
-                for k, p in portions(place, order):
-                    first = np.flatnonzero(np.diff(h[p], prepend=-1))
-                    row = {
-                        "bucket": k,
-                        "block": b.row["block"],
-                        "h": hashes[h[p[first]]].tobytes(),
-                        "run": pack(np.diff(np.append(first, len(p)))),
-                        "w": b.vocab[w[p]].tobytes(),
-                        "cw": pack(counts[w[p]]),
-                        "n": pack(own[p]),
-                        "common": is_common[h[p[first]]].tobytes(),
-                    }
-                    yield pa.RecordBatch.from_pylist([row], ASK_PAIRS)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in each_bucket(batches):
-            get = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in rows])
-            hist, at_h = np.unique(get("h", np.uint64), return_inverse=True)
-            numbers = lambda c: np.concatenate([unpack(r[c]) for r in rows])
-            run = numbers("run")
-            h = np.repeat(at_h, run)
-            w, cw = get("w", np.uint64), numbers("cw")
-            order = np.lexsort((w, h))
-            fresh = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
-            at = np.empty(len(h), np.int64)
-            at[order] = np.cumsum(fresh) - 1
-            pick = order[fresh]
-            c = np.bincount(at, weights=numbers("n")).astype(np.int64)
-            of, seen = h[pick], c > 0
-            few = np.stack([np.bincount(of[c == r], minlength=len(hist)) for r in range(1, CUT + 1)], 1)
-            sums = np.bincount(of, weights=c, minlength=len(hist)).astype(np.int64)
-            mass = np.bincount(of[seen], weights=lowest.p(cw[pick][seen]), minlength=len(hist))
-            count = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)
-            yield pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "stats": [int(c.sum()), int(seen.sum()), *count[1 : CUT + 2].tolist()]}], REPLY)
-            is_common = np.zeros(len(hist), bool)
-            is_common[at_h] = get("common", bool)
-            for j in np.flatnonzero(is_common).tolist():
-                packed = np.concatenate([few[j], [sums[j]]]).astype("<i8").tolist()
-                yield pa.RecordBatch.from_pylist([{"bucket": rows[0]["bucket"], "h": int(hist[j].astype(np.int64)), "stats": packed, "mass": float(mass[j])}], REPLY)
-            head = np.column_stack([few, sums])
-            a = x = 0
-            for r in rows:
-                hs, size = len(r["h"]) // 8, len(r["w"]) // 8
-                mine = at_h[x : x + hs]
-                data = mass[mine].tobytes() + pack(head[mine].T.ravel())
-                yield pa.RecordBatch.from_pylist([{"bucket": r["bucket"], "block": r["block"], "c": pack(c[at[a : a + size]]), "few": data}], REPLY)
-                a, x = a + size, x + hs
-
-    asked = joined(words).select("block", "held", "sizes", "vocab", "tokens", "r0").mapInArrow(ask_pairs, "bucket int, block long, h binary, run binary, w binary, cw binary, n binary, common binary")
-    pairs = work_table(spark, dealt(asked, n).mapInArrow(count_pairs, REPLY_SQL), "katz-pairs")
-    n2 = pairs.filter("stats IS NOT NULL AND h IS NULL").agg(*places).first()[2:]
-    factors = np.array([0.0, *discounts(list(n2)), 1.0])
-    # Sums of the common histories: at most 4 n + 1 rows.
-    sums = [F.sum(F.element_at("stats", i + 1)).alias(f"s{i}") for i in range(CUT + 1)]
-    common_rows = {np.uint64(r["h"] & (2**64 - 1)): ([r[f"s{i}"] for i in range(CUT + 1)], r["m"]) for r in pairs.filter("h IS NOT NULL").groupBy("h").agg(*sums, F.sum("mass").alias("m")).collect()}
-    common_hash = np.array(sorted(common_rows), np.uint64)
-    common_head = np.array([common_rows[h][0] for h in common_hash], np.int64).reshape(-1, CUT + 1)
-    common_mass = np.array([common_rows[h][1] for h in common_hash], float)
+            own = r.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", *ANSWER)).alias(f"r{i + 1}"))
+            out = out.join(own, "block", "left" if i else "inner")
+        return out.select("block", *columns, "held", "sizes", "vocab", "tokens", *(f"r{i + 1}" for i in range(len(replies))))
+
+    def opened(row: dict, known: list[Order]) -> tuple[Block, list[Level]]:
+        b, levels = Block(row, n, order), []
+        for i, k in enumerate(known):
+            x = b.level(levels[-1] if levels else None, limit)
+            levels.append(b.answered(x, row[f"r{i + 2}"] or [], k))
+        return b, levels
+
+    known: list[Order] = []
+    for k in range(2, order + 1):
+
+        def ask(batches: Iterator[pa.RecordBatch], known: tuple = tuple(known)) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                b, levels = opened(row, list(known))
+                if (sent := b.message(b.level(levels[-1] if levels else None, limit))) is not None:
+                    yield sent
+
+        def count(batches: Iterator[pa.RecordBatch], below: Order | None = known[-1] if known else None) -> Iterator[pa.RecordBatch]:
+            return count_grams(batches, below, lowest)
+
+        asked = joined().mapInArrow(ask, ASK_SQL)
+        replies.append(stored(dealt(asked, n).mapInArrow(count, REPLY_SQL), f"replies{k}"))
+        ones = replies[-1].filter("stats IS NOT NULL AND h IS NULL").agg(*places).first()[2:]
+        # Sums of the hot histories: fewer than HOT rows.
+        sums = [F.sum(F.element_at("stats", i + 1)).alias(f"s{i}") for i in range(CUT)]
+        rows = replies[-1].filter("h IS NOT NULL").groupBy("h").agg(*sums, F.sum("part").alias("part")).orderBy("h").collect()
+        few = np.array([[r[f"s{i}"] for i in range(CUT)] for r in rows], np.int64).reshape(-1, CUT)
+        known.append(Order(list(ones), np.array([r["h"] for r in rows], np.int64), few, np.array([r["part"] for r in rows], float)))
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = Block({c: batch.column(c)[i].as_py() for c in batch.schema.names})
-                counts = known(b, b.row["r0"])
-                h, w, at, place, hashes = opened(b, counts)
-                c = np.zeros(len(h), np.int64)
-                head, mass = np.zeros((len(hashes), CUT + 1), np.int64), np.zeros(len(hashes))
-                portion = dict(portions(place, np.argsort(place, kind="stable")))
-                for r in b.row["r1"]:
-                    p = portion[r["bucket"]]
-                    c[p] = unpack(r["c"])
-                    own = h[p[np.flatnonzero(np.diff(h[p], prepend=-1))]]
-                    size = len(own)
-                    mass[own] = np.frombuffer(r["few"], float, size)
-                    head[own] = unpack(r["few"][8 * size :]).reshape(CUT + 1, size).T
-                if len(common_hash):
-                    spot = np.minimum(np.searchsorted(common_hash, hashes), len(common_hash) - 1)
-                    is_common = (common_hash[spot] == hashes) & np.append(counts > limit, True)
-                    head[is_common], mass[is_common] = common_head[spot[is_common]], common_mass[spot[is_common]]
-                p = pair_p(c, lowest.p(counts[w]), head[h, :CUT], head[h, CUT], mass[h], factors)
-                base = np.log10((counts + 1) / (total + vocabulary + 1))
-                docs_n = len(b.sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(b.row["keys"], pa.int64()),
-                        pa.array(b.row["held"], pa.bool_()),
-                        pa.array(b.sizes),
-                        pa.array(np.bincount(b.doc, weights=counts[b.tokens] > 0, minlength=docs_n).astype(np.int64)),
-                        pa.array(np.full(docs_n, total, np.int64)),
-                        pa.array(np.bincount(b.doc, weights=base[b.tokens], minlength=docs_n)),
-                        pa.array(np.bincount(b.doc, weights=np.log10(p)[at], minlength=docs_n)),
-                    ],
-                    [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return joined(words, pairs).select("block", "keys", "held", "sizes", "vocab", "tokens", "r0", "r1").mapInArrow(evaluate, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-ASK_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("w", pa.binary()), ("n", pa.binary())])
-ASK_PAIRS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("h", "run", "w", "cw", "n", "common"))])
-REPLY = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("c", pa.binary()), ("few", pa.binary()), ("stats", pa.list_(pa.int64())), ("h", pa.int64()), ("mass", pa.float64())])
-REPLY_SQL = "bucket int, block long, c binary, few binary, stats array<long>, h long, mass double"
+        for row in rows_of(batches):
+            b, levels = opened(row, known)
+            size, each = len(b.sizes), b.count[b.token]
+            summed_up = lambda x: np.bincount(b.doc, weights=x, minlength=size)
+            own = [pa.array(b.sizes), pa.array(summed_up(each > 0).astype(np.int64)), pa.array(np.full(size, total, np.int64))]
+            own += [pa.array(summed_up(np.log10((each + 1) / (total + vocabulary + 1)))), pa.array(summed_up(np.log10(b.values(levels, known, lowest))))]
+            yield pa.RecordBatch.from_arrays([row["keys"], pa.array(row["held"], pa.bool_()), *own], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    kind = dict(docs.dtypes)[key]
+    out = joined("keys").mapInArrow(evaluate, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = work_table(spark, out, "katz-scores")
+    spark.sql(f"DROP DATABASE {space} CASCADE")
+    return out
+
+
+ASK_SQL = "bucket int, block long, h binary, run binary, w binary, n binary, low binary, base binary"
+ANSWER = ("c", "id", "low", "few", "mass")
+REPLY = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ANSWER), ("stats", pa.list_(pa.int64())), ("h", pa.int64()), ("part", pa.float64())])
+REPLY_SQL = "bucket int, block long, c binary, id binary, low binary, few binary, mass binary, stats array<long>, h long, part double"
 
 
 def hold_out(docs: DataFrame, key: str = "doc_id") -> DataFrame:

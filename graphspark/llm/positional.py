@@ -35,27 +35,37 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split()
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Variable-length coding of small unsigned numbers, seven bits a byte."""
+def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Variable-length coding of unsigned numbers below 2**63, seven bits a byte, and where each code ends."""
     width = np.ones(len(values), np.int64)
+    most = int(values.max(initial=0))
     for bits in range(7, 63, 7):
+        if most >> bits == 0:
+            break
         width += values >= 1 << bits
-    at = np.cumsum(width) - width
-    out = np.zeros(int(width.sum()), np.uint8)
+    ends = np.cumsum(width)
+    at = ends - width
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(int(width.max(initial=0))):
-        has = width > k
+        has = np.flatnonzero(width > k) if k else slice(None)
         more = (width[has] > k + 1).astype(np.uint8) << 7
         out[at[has] + k] = ((values[has] >> (7 * k)) & 0x7F).astype(np.uint8) | more
-    return out.tobytes()
+    return out, ends
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers coded one behind the other."""
+    return coded(values)[0].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 0x80)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    out = np.zeros(len(ends), np.int64)
-    for k in range(int((ends - starts).max(initial=-1)) + 1):
-        has = starts + k <= ends
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    width = ends - starts
+    out = (raw[starts] & 0x7F).astype(np.int64)
+    for k in range(1, int(width.max(initial=0)) + 1):
+        has = np.flatnonzero(width >= k)
         out[has] |= (raw[starts[has] + k].astype(np.int64) & 0x7F) << (7 * k)
     return out
 

@@ -1,5 +1,6 @@
 """Every corpus operator against a brute-force version, on a small table with awkward rows."""
 
+import functools
 import hashlib
 import math
 import random
@@ -158,43 +159,74 @@ def test_simhash_plans_find_all_links(spark):
     assert simhash.allocate([[5.0, 9.0], [1.0, 2.0], [7.0, 8.0]], 0) == (7.0, (0, 1, -1))
 
 
-@pytest.mark.parametrize("block", [1 << 22, 50])
-def test_katz(spark, docs, empty, block, monkeypatch):
-    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
-    source = docs.select("doc_id", "text")
-    rows = got(katz.scores(spark, katz.hold_out(source.repartition(3) if block == 50 else source), "held"))
-    own = [(i, zlib.crc32(str(i).encode()) % 7 == 2, [*t.encode().lower().split(), b""]) for i, t in plain().items()]
-    c1, c2 = Counter(), Counter()
-    for _, held, w in own:
+def katz_by_hand(own, order):
+    """Probabilities of (history, word) by the definition, from (held, words) of all texts."""
+    counts = [Counter() for _ in range(order + 1)]
+    for held, w in own:
         if not held:
-            c1.update(w)
-            c2.update(zip([None, *w[:-1]], w, strict=True))
-    total = sum(c1.values())
-    n1, n2 = Counter(c1.values()), Counter(c2.values())
-    words = katz.Words(total, [n1[r] for r in range(1, 7)])
-    d = [0.0, *katz.discounts([n2[r] for r in range(1, 7)]), 1.0]
-    p1 = lambda w: c1[w] * words.factors[min(c1[w], 6)] * words.scale if c1[w] else words.unknown
-    behind = defaultdict(dict)
-    for (h, w), c in c2.items():
-        behind[h][w] = c
-
-    def p2(h, w):
-        seen = behind.get(h)
+            full = [None] * (order - 1) + w
+            for k in range(1, order + 1):
+                counts[k].update(tuple(full[i - k + 1 : i + 1]) for i in range(order - 1, len(full)))
+    total = sum(counts[1].values())
+    ones = [Counter(c.values()) for c in counts]
+    words = katz.Words(total, [ones[1][r] for r in range(1, 7)])
+    factors = [[0.0, *katz.discounts([o[r] for r in range(1, 7)]), 1.0] for o in ones]
+    behind = [defaultdict(dict) for _ in counts]
+    for k in range(2, order + 1):
+        for gram, c in counts[k].items():
+            behind[k][gram[:-1]][gram[-1]] = c
+
+    @functools.cache
+    def p(history, w):
+        if not history:
+            c = counts[1][(w,)]
+            return c * words.factors[min(c, 6)] * words.scale if c else words.unknown
+        seen, d = behind[len(history) + 1].get(history), factors[len(history) + 1]
         if not seen:
-            return p1(w)
+            return p(history[1:], w)
         n = sum(seen.values())
         lost = sum((1 - d[min(c, 6)]) * c for c in seen.values())
         scale, left = (1 / n, lost / n) if lost > 0 else (1 / (n + 1), 1 / (n + 1))
-        return seen[w] * d[min(seen[w], 6)] * scale if w in seen else left / (1 - sum(map(p1, seen))) * p1(w)
+        if w in seen:
+            return seen[w] * d[min(seen[w], 6)] * scale
+        return left / (1 - sum(p(history[1:], x) for x in seen)) * p(history[1:], w)
+
+    return counts, total, p
 
-    for h in [None, b"alpha", b"of,", b"nowhere"]:
-        assert math.isclose(sum(p2(h, w) for w in c1) + p2(h, b"never seen"), 1, rel_tol=1e-9)
+
+@pytest.mark.parametrize(("order", "block", "hot"), [(2, 1 << 19, 1 << 14), (2, 50, 1 << 14), (3, 1 << 19, 1 << 14), (3, 50, 1 << 14), (3, 200, 30), (4, 300, 10)])
+def test_katz(spark, docs, empty, order, block, hot, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(katz, "MESSAGE", 0)
+    monkeypatch.setattr(katz, "HOT", hot)
+    # Columns named like the operator's own, and all of ``docs``.
+    source = docs.withColumn("block", F.lit(1)).withColumn("k2", F.lit("x"))
+    rows = got(katz.scores(spark, katz.hold_out(source.repartition(3) if block == 50 else source), "held", order=order))
+    own = [(i, zlib.crc32(str(i).encode()) % 7 == 2, [*t.encode().lower().split(), b""]) for i, t in plain().items()]
+    counts, total, p = katz_by_hand([(held, w) for _, held, w in own], order)
+    known = counts[1]
+    start = (None,) * (order - 1)
+    for h in [start, (*start, b"alpha"), (b"gamma", b"of,"), (b"alpha", b"beta"), (b"nowhere", b"alpha"), (b"9", b"nowhere"), (b"delta", b"alpha", b"beta")]:
+        h = h[-(order - 1) :]
+        assert math.isclose(sum(p(h, w) for (w,) in known) + p(h, b"never seen"), 1, rel_tol=1e-9)
+    assert len(rows) == len(own)
     for i, held, w in own:
         r = rows[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(w), sum(c1[x] > 0 for x in w), total)
-        assert math.isclose(r.base_score, sum(math.log10((c1[x] + 1) / (total + len(c1) + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p2(a, b)) for a, b in zip([None, *w[:-1]], w, strict=True)), rel_tol=1e-9)
-    assert katz.scores(spark, katz.hold_out(empty.select("doc_id", "text")), "held").count() == 0
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(w), sum(known[(x,)] > 0 for x in w), total)
+        assert math.isclose(r.base_score, sum(math.log10((known[(x,)] + 1) / (total + len(known) + 1)) for x in w), rel_tol=1e-9)
+        full = [*start, *w]
+        assert math.isclose(r.score, sum(math.log10(p(tuple(full[j : j + order - 1]), x)) for j, x in enumerate(w)), rel_tol=1e-9)
+    assert katz.scores(spark, katz.hold_out(empty), "held", order=order).count() == 0
+
+
+def test_katz_keys(spark):
+    """Text keys, null and repeated keys: a row each; all held out: the unknown word's probability, one."""
+    rows = [("a", "x y"), ("a", "x y z"), (None, "y"), (None, None)]
+    docs = spark.createDataFrame(rows, "name string, text string")
+    found = katz.scores(spark, docs.withColumn("held", F.lit(False)), "held", key="name").collect()
+    assert sorted((r.name or "", r.n_tokens, r.train_tokens) for r in found) == [("", 1, 10), ("", 2, 10), ("a", 3, 10), ("a", 4, 10)]
+    found = katz.scores(spark, docs.withColumn("held", F.lit(True)), "held", key="name").collect()
+    assert [(r.score, r.n_known, r.train_tokens) for r in found] == [(0.0, 0, 0)] * 4
 
 
 def test_token_counts(docs, empty):
