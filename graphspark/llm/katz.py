@@ -131,7 +131,9 @@ def from_planes(data: bytes) -> np.ndarray:
 
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """All words of all texts, lower-cased A-Z and cut at ASCII blanks, and how many each text has."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # A slice is copied first: lower-casing reads values that do not begin at the buffer's start wrongly.
+    own = pa.concat_arrays([texts, texts.slice(0, 0)]).cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(own, "")))
     flat = lists.flatten()
     full = pc.not_equal(flat, "")
     held = full.to_numpy(zero_copy_only=False)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -378,3 +379,15 @@ def test_viterbi_is_the_best_path():
     for i, n in enumerate(lengths):
         value = lambda y: field.step[6, y[0]] + sum(score[i, k, t] for k, t in enumerate(y)) + sum(field.step[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
         assert tuple(tags[i, :n]) == max(product(range(6), repeat=int(n)), key=value)
+
+
+def test_katz_words_of_slices():
+    """Words of a slice of a batch are those of its own texts."""
+    texts = ["aa BB", None, " à la\tÅ x\x1cy\x0bz\xa0w ", "", "ee ff  GG", "hh"]
+    whole = pa.array(texts)
+    for a in range(len(texts) + 1):
+        for b in range(a, len(texts) + 1):
+            found, n = katz.words_of(whole.slice(a, b - a))
+            want = [(t or "").encode().lower().split() for t in texts[a:b]]
+            assert [w.encode() for w in found.to_pylist()] == [w for c in want for w in c]
+            assert n.tolist() == [len(c) for c in want]
