@@ -1,19 +1,23 @@
 """Personal data by fixed patterns and a linear-chain conditional random field.
 
-The base kinds (email, ip, card, phone) are found by pattern and check.  The field labels the
-tokens of every stretch of text around a digit, an @ sign or a word that announces a secret; its
-features are the shapes of a token and its neighbours.  It is trained from a small labelled
-table and decoded by Viterbi over padded numpy batches.  Its spans are added where no base span
-stands, as kinds of their own (likely_email, .., secret), so base results never change.
-
-Defined results: null counts as the empty text, without spans; repeated rows are judged each;
-other columns are ignored; an empty table gives an empty table.
+The base kinds (email, ip, card, phone) are found by pattern and check.  The field reads every
+token of every text.  Its features are the shape of a token, its case and character pattern, its
+length, its first letters, whether white space stands before it, words that announce something
+(a closed list), all of these for two neighbours on either side, and pairs of shape classes.  It
+is trained from a small labelled table and decoded by Viterbi over padded numpy batches.  A chain
+ends at a line break, before a capitalised word behind a full stop, and, from CHAIN tokens on,
+between two plain words.  A found span grows to the end of the run of glued letters and digits
+it stands in.  Its spans are added where no base span stands, as kinds of their own
+(likely_email, .., national_id, secret), so base results never change.
+
+Defined results: null counts as the empty text, without spans; repeated rows and repeated or
+null keys are judged each; other columns, whatever their names, are ignored (``redact`` keeps
+them); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -27,11 +31,10 @@ from .common import map_texts, runs, text_slices, texts_of
 from .pii_examples import labelled
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("likely_email", "likely_ip", "likely_card", "likely_phone", "secret")
+ADDED = ("likely_email", "likely_ip", "likely_card", "likely_phone", "national_id", "secret")
 KINDS = (*BASE, *ADDED)
-TAGS = ("", "email", "ip", "card", "phone", "secret")
+TAGS = ("", "email", "ip", "card", "phone", "national_id", "secret")
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A leftmost match always starts where a run of digits does, so other starts are not tried.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -39,14 +42,16 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
-SIGNAL = re.compile(r"(?<!\S)\S*[0-9@]\S*|\b(?:token|password|passwd|secret|api_key|apikey)\b", re.IGNORECASE)
-CONTEXT = 40
-TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_+")
-FEATURES = 1 << 12
+#: White space and the token behind it, so that the tokens of a text cover it up to trailing space.
+TOKEN = re.compile(r"\s*(?:[^\W_]+|[^\w\s]|_+)")
 OFFSETS = (-2, -1, 0, 1, 2)
-CELLS = 1 << 17
-#: What an added span of a kind must hold.
-NEEDS = {"email": "@", "ip": "0123456789", "card": "0123456789", "phone": "0123456789", "secret": ""}
+CELLS = 1 << 16
+CHAIN = 64
+MEMO = 1 << 18
+#: An added span of a kind holds this many digits at least, a secret this many characters.
+DIGITS = {"phone": 7, "national_id": 6}
+SECRET = 6
+GLUE = frozenset("-_./+")
 
 Span = tuple[str, int, int]
 
@@ -86,92 +91,166 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text that the field reads: every signal with its context, joined where they meet."""
-    out: list[tuple[int, int]] = []
-    for m in SIGNAL.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        while a > 0 and m.start() - a < 2 * CONTEXT and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and b - m.end() < 2 * CONTEXT and not text[b].isspace():
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-@cache
-def cue(word: str) -> bool:
-    return word in {"token", "password", "passwd", "secret", "key", "tel", "call", "phone", "card", "mail", "host"}
-
+# --- tokens --------------------------------------------------------------------------------
 
-def shape(token: str) -> str:
-    """What a token looks like: its kinds of characters and its length class, or the sign itself."""
-    if not token[0].isalnum():
-        return token[0]
-    if token.isdigit():
-        return f"9{min(len(token), 20)}"
-    low = token.lower()
-    if cue(low):
-        return f"cue {low}"
-    n = len(token)
-    size = n if n < 4 else 4 if n < 12 else 5 if n < 20 else 6
-    digits = any(c.isdigit() for c in token)
-    kind = "a9" if digits else "Aa" if token[0].isupper() else "aA" if token != low else "a"
-    return f"{kind}{size}"
+#: Words that announce personal data.
+CUES = frozenset("token tokens password passwd pwd pass passphrase secret key apikey api auth bearer credential credentials tel call phone mobile fax card visa mail email contact host ip addr address server ssn dni nino social security tax id insurance".split())
+#: First letters of keys that their makers mark.
+HEADS = frozenset(("AKIA", "ASIA", "AIza", "eyJh"))
+VOWELS = "aeiouy"
+HEX = "0123456789abcdef"
+SIGNS = ".,:;@/\\-_=+()\"'#$%&*<>[]{}|~!?^`"
+CLASSES = 64
 
 
-def feature(text: str) -> int:
-    return zlib.crc32(text.encode()) % FEATURES
+@cache
+def coarse(core: str) -> int:
+    """Shape class of a token, below CLASSES; 0 is the edge of a chain."""
+    if not core[0].isalnum():
+        return 2 + SIGNS.index(core[0]) if core[0] in SIGNS else 1
+    first = 2 + len(SIGNS)
+    n = len(core)
+    if core.isdigit():
+        return first + (n - 1 if n < 5 else 4 if n < 9 else 5 if n < 12 else 6)
+    if core.lower() in CUES:
+        return first + 7
+    if any(c.isdigit() for c in core):
+        return first + (8 if n < 4 else 9 if n < 9 else 10 if n < 16 else 11)
+    if core.islower():
+        return first + (12 if n < 16 else 13)
+    if core.isupper():
+        return first + (14 if n < 5 else 15)
+    return first + (16 if core[1:].islower() else 17)
+
+
+def pattern(core: str) -> str:
+    """Kinds of characters in order, equal neighbours as one, cut at eight."""
+    out = ""
+    for c in core[:24]:
+        kind = "9" if c.isdigit() else "A" if c.isupper() else "a"
+        if not out or out[-1] != kind:
+            out += kind
+    return out[:8]
+
+
+def features(token: str) -> list[str]:
+    """Names of a token's features; a closed set of shapes, lengths, patterns and announcing words."""
+    core = token.lstrip()
+    spaced = "s" if len(core) < len(token) else "g"
+    out = ["bias", f"spaced {spaced}", f"class {coarse(core)}", f"class {coarse(core)} {spaced}"]
+    if not core[0].isalnum():
+        return [*out, f"sign {core[0]}"]
+    low, n = core.lower(), len(core)
+    if low in CUES:
+        return [*out, f"cue {low}"]
+    out += [f"pattern {pattern(core)}", f"length {min(n, 48) if core.isdigit() or n > 12 else n // 4}", f"digits {min(sum(c.isdigit() for c in core), 24)}"]
+    if not core.isdigit():
+        vowels = sum(map(low.count, VOWELS))
+        hexed = not low.strip(HEX)
+        out += [f"vowels {4 * vowels // n}", f"hex {hexed} {min(n // 8, 6)}", f"last {pattern(core[-2:])}"]
+        if n >= 16 or "A" in pattern(core)[1:]:
+            out.append(f"head {pattern(core[:4])} {core[:4] if core[:4] in HEADS else ''}")
+    return out
 
 
 @dataclass(frozen=True)
 class Field:
-    """Weights of token features by place and tag, and of neighbouring tags; the last row is the start."""
+    """Weights: of token features by place and tag, of pairs of shape classes, of neighbouring tags (the last row is the start)."""
 
-    token: np.ndarray  # offsets x FEATURES x tags
+    names: dict[str, int]
+    token: np.ndarray  # offsets x (features + 1) x tags; the last feature is that of unknown ones and edges
+    pair: np.ndarray  # 3 x CLASSES**2 x tags: with the token before, with that behind, of both neighbours
     step: np.ndarray  # (tags + 1) x tags
 
 
-def observe(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
-    """Feature number of every token."""
-    out = np.empty(len(tokens), np.int64)
-    for i, t in enumerate(tokens):
-        f = memo.get(t)
-        if f is None:
-            f = feature(shape(t))
-            if len(memo) < 200_000:
-                memo[t] = f
-        out[i] = f
+class Table:
+    """The kinds of tokens met so far: tokens with the same features and flags are one; number 0 is the edge of a chain."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.features: list[list[str]] = [[]]
+        self.rows: list[tuple[int, bool, bool, bool, bool]] = [(0, False, False, False, False)]
+
+    def add(self, tokens: set[str]) -> None:
+        for t in tokens:
+            if t in self.number:
+                continue
+            core = t.lstrip()
+            space = t[: len(t) - len(core)]
+            line = "\n" in space or "\r" in space
+            if core.isalpha() and (core.islower() or core.istitle()) and (low := core.lower()) not in CUES:
+                # Words of letters: what their features are made of, without making them.
+                kind = (line, space != "", core.islower(), len(core), sum(map(low.count, VOWELS)), not low.strip(HEX))
+            else:
+                kind = (line, space != "", core)
+            found = self.kinds.setdefault(kind, len(self.rows))
+            self.number[t] = found
+            if found == len(self.rows):
+                plain = core.isalpha() and len(core) <= 12 and core.lower() not in CUES
+                self.rows.append((coarse(core), line, core in ".!?", space != "" and plain and core[0].isupper() and core[1:].islower(), space != "" and plain))
+                self.features.append(features(t))
+
+
+def cuts(types: np.ndarray, line: np.ndarray, stop: np.ndarray, title: np.ndarray, plain: np.ndarray) -> list[int]:
+    """Where the chains of a text begin."""
+    breaks = line[types].copy()
+    breaks[1:] |= stop[types[:-1]] & title[types[1:]]
+    breaks[0] = True
+    at = np.flatnonzero(breaks)
+    if np.diff(np.append(at, len(types))).max() <= CHAIN:
+        return at.tolist()
+    loose = plain[types]
+    loose[1:] &= loose[:-1].copy()
+    loose[0] = False
+    ways, out = np.flatnonzero(loose), []
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(types)], strict=True):
+        while True:
+            out.append(a)
+            i = int(np.searchsorted(ways, a + CHAIN))
+            if i == len(ways) or ways[i] >= b:
+                break
+            a = int(ways[i])
     return out
 
 
+# --- the field -----------------------------------------------------------------------------
+
+
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of sequences with two places of padding on either side, and the sequences' lengths."""
+    """Token numbers of chains with two places of padding on either side, and the chains' lengths."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    pad = feature("<edge>")
-    x = np.full((len(rows), int(lengths.max(initial=0)) + 4), pad)
+    x = np.zeros((len(rows), int(lengths.max(initial=0)) + 4), np.int64)
     row, offset = runs(lengths)
     if len(row):
         x[row, offset + 2] = np.concatenate(rows)
     return x, lengths
 
 
-def emissions(field: Field, x: np.ndarray) -> np.ndarray:
+def emissions(token: np.ndarray, pair: np.ndarray, x: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """``token``: offsets x tokens x tags, the sums of the tokens' features."""
     n = x.shape[1] - 4
-    return sum(field.token[k][x[:, 2 + o : 2 + o + n]] for k, o in enumerate(OFFSETS))
+    score = token[0][x[:, :n]]
+    for k in range(1, len(OFFSETS)):
+        score += token[k][x[:, k : k + n]]
+    for k, at in enumerate(pairs_of(classes[x])):
+        score += pair[k][at]
+    return score
+
+
+def pairs_of(c: np.ndarray) -> list[np.ndarray]:
+    n = c.shape[1] - 4
+    before, own, behind = c[:, 1 : 1 + n], c[:, 2 : 2 + n], c[:, 3 : 3 + n]
+    return [before * CLASSES + own, own * CLASSES + behind, before * CLASSES + behind]
 
 
-def viterbi(field: Field, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The best tags of each sequence; places behind its end are 0."""
-    score = emissions(field, x)
+def viterbi(score: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The best tags of each chain; places behind its end are 0."""
     rows, n, k = score.shape
     back = np.zeros((rows, n, k), np.int8)
-    now = score[:, 0] + field.step[k]
+    now = score[:, 0] + step[k]
     for i in range(1, n):
-        ways = now[:, :, None] + field.step[None, :k]
+        ways = now[:, :, None] + step[None, :k]
         back[:, i] = ways.argmax(1)
         new = ways.max(1) + score[:, i]
         now = np.where((i < lengths)[:, None], new, now)
@@ -186,19 +265,18 @@ def viterbi(field: Field, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return tags
 
 
-def expectations(field: Field, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def expectations(score: np.ndarray, step_to: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Expected tags of every place, expected steps, and the summed log partition, by forward-backward."""
-    score = emissions(field, x)
     rows, n, k = score.shape
     inside = np.arange(n) < lengths[:, None]
-    step = field.step[:k]
+    step = step_to[:k]
 
     def lse(a: np.ndarray, axis: int) -> np.ndarray:
         m = a.max(axis, keepdims=True)
         return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis))
 
     ahead = np.zeros((rows, n, k))
-    ahead[:, 0] = score[:, 0] + field.step[k]
+    ahead[:, 0] = score[:, 0] + step_to[k]
     for i in range(1, n):
         ahead[:, i] = np.where(inside[:, i, None], lse(ahead[:, i - 1, :, None] + step, 1) + score[:, i], ahead[:, i - 1])
     total = lse(ahead[:, -1], 1)
@@ -215,14 +293,16 @@ def expectations(field: Field, x: np.ndarray, lengths: np.ndarray) -> tuple[np.n
 
 
 def tokens_of(text: str) -> tuple[list[str], np.ndarray]:
-    found = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
-    return [f[0] for f in found], np.array([f[1:] for f in found], np.int64).reshape(-1, 2)
+    """The tokens with the white space before them, and where their letters and signs start and end."""
+    found = TOKEN.findall(text)
+    end = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    size = np.fromiter((len(t.lstrip()) for t in found), np.int64, len(found))
+    return found, np.stack([end - size, end], 1)
 
 
-def train(table: list[tuple[str, list[Span]]], rounds: int = 150, decay: float = 3e-4) -> Field:
+def train(table: list[tuple[str, list[Span]]], rounds: int = 100, decay: float = 3e-5) -> Field:
     """Maximum likelihood with a quadratic penalty, by Adam over the whole small table."""
-    memo: dict[str, int] = {}
-    rows, gold = [], []
+    seen, rows, gold = Table(), [], []
     for text, spans in table:
         words, at = tokens_of(text)
         if not words:
@@ -230,71 +310,143 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 150, decay: float =
         y = np.zeros(len(words), np.int64)
         for kind, a, b in spans:
             y[(at[:, 0] >= a) & (at[:, 1] <= b)] = TAGS.index(kind)
-        rows.append(observe(words, memo))
+        seen.add(set(words))
+        rows.append(np.array([seen.number[w] for w in words]))
         gold.append(y)
-    x, lengths = padded(rows)
-    k, n = len(TAGS), x.shape[1] - 4
-    inside = np.arange(n) < lengths[:, None]
-    want = np.zeros((len(rows), n, k))
-    want_step = np.zeros((k + 1, k))
-    for i, y in enumerate(gold):
-        want[i, np.arange(len(y)), y] = 1
-        want_step[k, y[0]] += 1
-        np.add.at(want_step, (y[:-1], y[1:]), 1)
-    weights = [np.zeros((len(OFFSETS), FEATURES, k)), np.zeros((k + 1, k))]
+    names: dict[str, int] = {}
+    listed = [[names.setdefault(f, len(names)) for f in x] for x in seen.features]
+    listed[0] = [len(names)]
+    of, _ = runs(np.array([len(x) for x in listed]))
+    flat, size = np.concatenate([np.array(x, np.int64) for x in listed]), len(names) + 1
+    classes = np.array([r[0] for r in seen.rows])
+    k = len(TAGS)
+    want_step, parts = np.zeros((k + 1, k)), []
+    by_length = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+    for first in range(0, len(rows), -(-len(rows) // 6)):
+        own = by_length[first : first + -(-len(rows) // 6)]
+        x, lengths = padded([rows[i] for i in own])
+        inside = np.arange(x.shape[1] - 4) < lengths[:, None]
+        want = np.zeros((*inside.shape, k))
+        for i, y in enumerate(gold[j] for j in own):
+            want[i, np.arange(len(y)), y] = 1
+            want_step[k, y[0]] += 1
+            np.add.at(want_step, (y[:-1], y[1:]), 1)
+        parts.append((x, lengths, inside, want))
+    seen_at = [np.concatenate([x[:, j : j + m.shape[1]][m] for x, _, m, _ in parts]) for j in range(len(OFFSETS))]
+    pair_at = [np.concatenate([pairs_of(classes[x])[j][m] for x, _, m, _ in parts]) for j in range(3)]
+    weights = [np.zeros((len(OFFSETS), size, k)), np.zeros((3, CLASSES**2, k)), np.zeros((k + 1, k))]
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
     for r in range(1, rounds + 1):
-        tags, steps, _ = expectations(Field(*weights), x, lengths)
-        miss = (tags - want)[inside]
-        grads = [np.zeros_like(weights[0]), (steps - want_step) / len(rows)]
-        for j, o in enumerate(OFFSETS):
-            seen = x[:, 2 + o : 2 + o + n][inside]
-            for t in range(k):
-                grads[0][j, :, t] = np.bincount(seen, weights=miss[:, t], minlength=FEATURES) / len(rows)
+        sums = np.stack([np.add.reduceat(w[flat], np.flatnonzero(np.diff(of, prepend=-1))) for w in weights[0]])
+        grads = [np.zeros_like(weights[0]), np.zeros_like(weights[1]), -want_step / len(rows)]
+        missed = []
+        for x, lengths, inside, want in parts:
+            tags, steps, _ = expectations(emissions(sums, weights[1], x, classes), weights[2], lengths)
+            missed.append((tags - want)[inside] / len(rows))
+            grads[2] += steps / len(rows)
+        miss = np.concatenate(missed)
+        for t in range(k):
+            for j in range(len(OFFSETS)):
+                by_token = np.bincount(seen_at[j], weights=miss[:, t], minlength=len(listed))
+                grads[0][j, :, t] = np.bincount(flat, weights=by_token[of], minlength=size)
+            for j in range(3):
+                grads[1][j, :, t] = np.bincount(pair_at[j], weights=miss[:, t], minlength=CLASSES**2)
         for w, g, (m1, m2) in zip(weights, grads, moments, strict=True):
             g += decay * w
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g**2 - m2)
             w -= 0.1 * (m1 / (1 - 0.9**r)) / (np.sqrt(m2 / (1 - 0.99**r)) + 1e-8)
-    return Field(weights[0].astype(np.float32), weights[1].astype(np.float32))
+    return Field(names, *(w.astype(np.float32) for w in weights))
 
 
 def trained() -> Field:
     return train(labelled())
 
 
+def grown(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span up to the ends of the run of letters, digits and signs between them that it stands in."""
+    while b < len(text) and (text[b].isalnum() or (text[b] in GLUE and b + 1 < len(text) and text[b + 1].isalnum())):
+        b += 1
+    while a > 0 and (text[a - 1].isalnum() or (text[a - 1] in GLUE and a > 1 and text[a - 2].isalnum())):
+        a -= 1
+    return a, b
+
+
+def checked(text: str, tag: str, a: int, b: int) -> list[Span]:
+    """The span as an added one, if it holds what its kind must; secrets are cut at white space."""
+    part = text[a:b]
+    if tag == "secret":
+        return [("secret", a + m.start(), a + m.end()) for m in re.finditer(r"\S+", part) if len(m[0]) >= SECRET]
+    digits, letters = sum(c.isdigit() for c in part), any(c.isalpha() for c in part)
+    if tag == "email":
+        fine = "@" in part
+    elif tag == "ip":
+        fine = digits >= 4 and part.count(".") >= 3
+    elif tag == "card":
+        fine = digits >= 12 and not letters and luhn("".join(c for c in part if c in "0123456789"))
+    else:
+        fine = digits >= DIGITS[tag] and (tag == "national_id" or not letters)
+    return [(tag if tag in ADDED else f"likely_{tag}", a, b)] if fine else []
+
+
 class Finder:
     """Finds the spans of batches of texts."""
 
     def __init__(self, field: Field):
-        self.field, self.memo = field, {}
+        self.field = field
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = Table()
+        self.known = 0
+        self.token = np.zeros((len(OFFSETS), 0, len(TAGS)), np.float32)
+
+    def learn(self, tokens: set[str]) -> None:
+        """Adds the weights of tokens met for the first time."""
+        if len(self.table.number) + len(tokens) > MEMO:
+            self.clear()
+        self.table.add(tokens)
+        if len(self.table.rows) > self.known:
+            other = self.field.token.shape[1] - 1
+            listed = [[self.field.names.get(f, other) for f in x] or [other] for x in self.table.features[self.known :]]
+            sizes = np.array([len(x) for x in listed])
+            flat = np.concatenate([np.array(x) for x in listed])
+            new = np.stack([np.add.reduceat(w[flat], np.cumsum(sizes) - sizes) for w in self.field.token])
+            self.token = np.concatenate([self.token, new], 1)
+            self.known = len(self.table.rows)
+            columns = list(zip(*self.table.rows, strict=True))
+            self.classes, self.flags = np.array(columns[0]), [np.array(c) for c in columns[1:]]
 
     def added(self, texts: list[str]) -> list[list[Span]]:
         """What the field finds in each text."""
         out: list[list[Span]] = [[] for _ in texts]
-        jobs = []
-        for i, text in enumerate(texts):
-            for a, b in stretches(text):
-                words, at = tokens_of(text[a:b])
-                if words:
-                    jobs.append((i, at + a, observe(words, self.memo)))
-        jobs.sort(key=lambda j: len(j[2]))
+        found = [TOKEN.findall(t) for t in texts]
+        self.learn(set().union(*found))
+        number = self.table.number.__getitem__
+        jobs, ends = [], []
+        for i, words in enumerate(found):
+            types = np.fromiter(map(number, words), np.int64, len(words))
+            ends.append(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+            if len(types):
+                at = cuts(types, *self.flags)
+                jobs += [(b - a, i, a, types[a:b]) for a, b in zip(at, [*at[1:], len(types)], strict=True)]
+        jobs.sort(key=lambda j: j[0])
         at = 0
         while at < len(jobs):
             to = at + 1
-            while to < len(jobs) and (to + 1 - at) * len(jobs[to][2]) <= CELLS:
+            while to < len(jobs) and (to + 1 - at) * jobs[to][0] <= CELLS:
                 to += 1
-            x, lengths = padded([j[2] for j in jobs[at:to]])
-            tags = viterbi(self.field, x, lengths)
-            for (i, places, _), row in zip(jobs[at:to], tags, strict=True):
-                y = row[: len(places)]
-                if y.any():
-                    cuts = np.flatnonzero(np.diff(y)) + 1
-                    for s, e in zip([0, *cuts], [*cuts, len(y)], strict=True):
-                        if y[s]:
-                            tag, a, b = TAGS[y[s]], int(places[s, 0]), int(places[e - 1, 1])
-                            if not NEEDS[tag] or any(c in NEEDS[tag] for c in texts[i][a:b]):
-                                out[i].append((tag if tag == "secret" else f"likely_{tag}", a, b))
+            x, lengths = padded([j[3] for j in jobs[at:to]])
+            tags = viterbi(emissions(self.token, self.field.pair, x, self.classes), self.field.step, lengths)
+            for r in np.flatnonzero(tags.any(1)).tolist():
+                n, i, first, _ = jobs[at + r]
+                y = tags[r, :n]
+                edges = np.flatnonzero(np.diff(y)) + 1
+                for s, e in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
+                    if y[s]:
+                        a, b = int(ends[i][first + s]) - len(found[i][first + s].lstrip()), int(ends[i][first + e - 1])
+                        a, b = grown(texts[i], a, b)
+                        out[i] += checked(texts[i], TAGS[y[s]], a, b)
             at = to
         return out
 
@@ -303,7 +455,10 @@ class Finder:
         out = []
         for text, more in zip(texts, self.added(texts), strict=True):
             base = base_spans(text)
-            free = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)] if base else more
+            free: list[Span] = []
+            for s in sorted(more, key=lambda s: (s[1], -s[2])):
+                if not any(s[1] < b and a < s[2] for _, a, b in base) and not (free and s[1] < free[-1][2]):
+                    free.append(s)
             out.append(base + sorted(free, key=lambda s: (ADDED.index(s[0]), s[1])))
         return out
 
