@@ -48,8 +48,8 @@ def work_database(spark: SparkSession) -> str:
     return name
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the strings of ``column`` in each add up to about SLICE_BYTES."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the strings of ``column`` in each add up to about ``most`` bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -58,7 +58,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
 

@@ -15,8 +15,8 @@ histories at any size, so their sums are the only part of a model that a driver
 
 Blocks grow with the square root of the corpus, so that a message from a block to a partition
 keeps some hundred n-grams.  Words are told apart by 64-bit hashes (two of 10^8 words are taken
-for one with odds of 3 in 10,000); a model holds up to 2^31 - 2 different words (order 3; fewer bits
-are left a word at higher orders) and refuses more.
+for one with odds of 3 in 10,000); a model holds up to 2^31 - 2 different words (order 3; fewer
+at higher orders) and refuses more.
 
 Defined results: null and empty texts are a single end token; repeated rows, and rows that share
 a key, are scored each and count as often as they stand; rows without a key take part in
@@ -40,9 +40,11 @@ from pyspark.sql import functions as F
 from .common import runs, text_slices, work_database, work_table
 from .positional import coded, pack, unpack
 
-BLOCK_TOKENS = 1 << 19
-#: N-grams that a message should hold in the mean, twice over.
+BLOCK_TOKENS = 3 << 17
+#: N-grams that a message should hold in the mean.
 MESSAGE = 64
+#: Blocks whose load a partition of a table has.
+LOAD = 1.25
 #: Counts above this are not discounted.
 CUT = 5
 #: A history with more than one in so many tokens is dealt by n-gram.
@@ -129,7 +131,7 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
 
-def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of all texts, lower-cased A-Z and cut at ASCII blanks, and how many each text has."""
     # A slice is copied first: lower-casing reads values that do not begin at the buffer's start wrongly.
     own = pa.concat_arrays([texts, texts.slice(0, 0)]).cast(pa.large_string())
@@ -138,7 +140,7 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     full = pc.not_equal(flat, "")
     held = full.to_numpy(zero_copy_only=False)
     text, _ = runs(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    return flat.filter(full).dictionary_encode(), np.bincount(text[held], minlength=len(texts))
+    return flat.filter(full), np.bincount(text[held], minlength=len(texts))
 
 
 def blocks_of(docs: DataFrame, key: str, text: str, held: str, most: int) -> DataFrame:
@@ -147,20 +149,16 @@ def blocks_of(docs: DataFrame, key: str, text: str, held: str, most: int) -> Dat
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = size = 0
-        keys, flags, sizes, names, flat = [], [], [], [], []
+        keys, flags, sizes, flat = [], [], [], []
 
         def close() -> pa.RecordBatch:
-            vocab = pa.concat_arrays([pa.array([""], pa.large_string()), *names]).dictionary_encode()
-            of = vocab.indices.to_numpy().astype(np.int64)
-            counts, first, ids = np.concatenate(sizes), 1, []
-            for d, x in zip(names, flat, strict=True):
-                ids.append(of[first : first + len(d)][x])
-                first += len(d)
+            vocab = pa.concat_arrays([pa.array([""], pa.large_string()), *flat]).dictionary_encode()
+            counts = np.concatenate(sizes)
             row, offset = runs(counts)
-            tokens = np.zeros(len(row), np.int64)  # the end token has number 0
-            tokens[offset < counts[row] - 1] = np.concatenate(ids)
+            tokens = np.zeros(len(row), np.int32)  # the end token has number 0
+            tokens[offset < counts[row] - 1] = vocab.indices.to_numpy()[1:]
             order = np.argsort(-np.bincount(tokens, minlength=len(vocab.dictionary)), kind="stable")
-            new = np.empty(len(order), np.int64)
+            new = np.empty(len(order), np.int32)
             new[order] = np.arange(len(order))
             tokens = new[tokens]
             flag = pa.concat_arrays(flags)
@@ -172,18 +170,17 @@ def blocks_of(docs: DataFrame, key: str, text: str, held: str, most: int) -> Dat
             out = [pa.array([(part << 32) + made], pa.int64()), as_list(pa.concat_arrays(keys)), as_list(flag), one(counts.astype("<u4").tobytes()), one(hashes.tobytes()), one(pack(own)), one(planes(tokens))]
             return pa.RecordBatch.from_arrays(out, ["block", "keys", "held", "sizes", "vocab", "counts", "tokens"])
 
-        for batch in text_slices(batches, "t"):
+        for batch in text_slices(batches, "t", 1 << 19):
             found, n = words_of(batch.column("t"))
             keys.append(batch.column("k"))
             flags.append(batch.column("held"))
             sizes.append(n + 1)
-            names.append(found.dictionary)
-            flat.append(found.indices.to_numpy().astype(np.int64))
+            flat.append(found)
             size += int(n.sum()) + len(n)
             if size >= most:
                 yield close()
                 made, size = made + 1, 0
-                keys, flags, sizes, names, flat = [], [], [], [], []
+                keys, flags, sizes, flat = [], [], [], []
         if keys:
             yield close()
 
@@ -201,16 +198,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary values that end at ``ends``, each beginning where the one before ends."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def coded_pieces(values: np.ndarray, upto: np.ndarray) -> pa.Array:
+def cut(values: np.ndarray, upto: np.ndarray) -> list[bytes]:
     """Numbers coded, cut behind the first ``upto[i]`` of them."""
     data, ends = coded(values)
-    return pieces(data, np.concatenate([[0], ends])[upto])
+    return raw_cut(data, np.concatenate([[0], ends])[upto])
+
+
+def raw_cut(data: np.ndarray, upto: np.ndarray) -> list[bytes]:
+    raw, ends = data.tobytes(), upto.tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def sealed(*parts: bytes) -> bytes:
+    """Parts of a message as one compressed value."""
+    body = np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+    return len(body).to_bytes(4, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def unsealed(value: bytes) -> list[bytes]:
+    body = pa.decompress(memoryview(value)[4:], int.from_bytes(value[:4], "little"), "zstd", asbytes=True)
+    n = int.from_bytes(body[:4], "little")
+    ends = np.cumsum([4 + 4 * n, *np.frombuffer(body, "<u4", n, 4)]).tolist()
+    return [body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def opened_all(rows: list[dict]) -> list[tuple[bytes, ...]]:
+    """The parts of all messages: all first parts, all second parts, .."""
+    return list(zip(*(unsealed(r["data"]) for r in rows), strict=True))
+
+
+def run_of(first: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` places the number of its run, from where runs begin."""
+    out = np.zeros(n, np.int32)
+    out[first] = 1
+    return np.cumsum(out, dtype=np.int32) - 1
 
 
 def steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -225,10 +246,10 @@ def summed(delta: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = np.cumsum(delta)
     sizes = sizes[sizes > 0]
     first = np.cumsum(sizes) - sizes
-    return total - np.repeat(total[first] - delta[first], sizes)
+    return total - (total[first] - delta[first])[run_of(first, len(delta))]
 
 
-def numbers(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def numbers(parts: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of several codes, and how many each holds."""
     data = b"".join(parts)
     last = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) < 0x80)])
@@ -240,58 +261,64 @@ class Level:
     """The distinct n-grams of a block for one order, sorted by (history, word), and what is known of them."""
 
 
-class Block:
-    """A stored block opened with the replies to its messages so far.
+def numbered(row: dict, n: int, bits: int) -> dict:
+    """A block with the model's numbers and counts of its words instead of their hashes.
 
-    Words unknown to the model are one word, with the greatest number.  Local numbers of words
-    and n-grams are in the order of their numbers in the model; history 0 is the start of a text.
+    Words unknown to the model become one word, with the greatest number; local numbers of words
+    are in the order of their numbers in the model.
     """
+    vocab, tokens = np.frombuffer(row["vocab"], np.uint64), from_planes(row["tokens"])
+    ids, counts = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
+    by = np.argsort(bucket_of(vocab, n), kind="stable")
+    c, number = opened_all(sorted(row["r1"], key=lambda r: r["bucket"]))
+    counts[by], ids[by] = numbers(c)[0], numbers(number)[0]
+    ids[counts == 0] = (1 << bits) - 1
+    ids, local = np.unique(ids, return_inverse=True)
+    count = np.zeros(len(ids), np.int64)
+    count[local] = counts
+    return {"words": sealed(pack(np.diff(ids, prepend=0)), pack(count)), "ends": int(counts[tokens[-1]]), "tokens": planes(local[tokens])}
 
-    def __init__(self, row: dict, n: int, order: int):
-        self.row, self.n, self.bits = row, n, 62 // (order - 1)
-        vocab = np.frombuffer(row["vocab"], np.uint64)
-        sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-        tokens = from_planes(row["tokens"])
-        ids, counts = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
-        at = bucket_of(vocab, n)
-        by = np.argsort(at, kind="stable")
-        replies = sorted(row["r1"], key=lambda r: r["bucket"])
-        ids[by] = numbers([r["id"] for r in replies])[0]
-        counts[by] = numbers([r["c"] for r in replies])[0]
-        ids[counts == 0] = (1 << self.bits) - 1
-        self.ids, local = np.unique(ids, return_inverse=True)
-        self.token = local[tokens]
-        self.count = np.zeros(len(self.ids), np.int64)
-        self.count[local] = counts
-        self.ends = int(counts[tokens[-1]])  # texts learned from
-        self.sizes = sizes
-        self.doc, self.offset = runs(sizes)
-        self.train = ~np.asarray(row["held"], bool)[self.doc]
+
+class Block:
+    """A numbered block opened.  Local numbers of n-grams are in their order in the model; history 0 is the start of a text."""
+
+    def __init__(self, row: dict, n: int, bits: int):
+        self.block, self.n, self.bits = row["block"], n, bits
+        ids, count = unsealed(row["words"])
+        self.ids, self.count = np.cumsum(unpack(ids)), unpack(count)
+        self.token, self.ends = from_planes(row["tokens"]), row["ends"]  # ends: texts learned from
+        self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        doc, offset = runs(self.sizes)
+        self.doc, self.offset = doc.astype(np.int32), offset.astype(np.int32)
+        self.train = ~np.asarray(row["held"], bool)[doc]
 
     def level(self, below: Level | None, hot_above: int) -> Level:
         """N-grams of the next order.  ``below``: the order before, with its reply; None for pairs."""
         x = Level()
         gram, count, key = (below.at, below.count, below.key) if below else (self.token, self.count, self.ids)
-        x.history = np.concatenate([[0], gram[:-1] + 1])
+        x.history = np.zeros(len(gram), np.int32)
+        x.history[1:] = gram[:-1] + 1
         x.history[self.offset == 0] = 0
         x.total = np.concatenate([[self.ends], count])
         history_key = np.concatenate([[0], key])
         width = len(self.ids)
-        grams, x.at = np.unique(x.history * width + self.token, return_inverse=True)
-        h, w = grams // width, grams % width
-        x.key = (history_key[h] << self.bits) | self.ids[w]
-        x.lower = np.empty(len(grams), np.int64)
-        x.lower[x.at] = gram
+        grams, at = np.unique(x.history.astype(np.int64) * width + self.token, return_inverse=True)
+        x.at = at.astype(np.int32)
+        h, w = (grams // width).astype(np.int32), (grams % width).astype(np.int32)
+        del grams, at
+        x.key = (history_key << self.bits)[h] | self.ids[w]
+        lower = np.empty(len(h), np.int32)
+        lower[x.at] = gram
         x.hot = x.total > hot_above
-        spread = history_key[h].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        by_gram = spread ^ mixed(self.ids[w].astype(np.uint64) + np.uint64(1))
-        place = bucket_of(mixed(np.where(x.hot[h], by_gram, spread)), self.n)
+        place = bucket_of(mixed(history_key.astype(np.uint64)), self.n)[h]
+        one = np.flatnonzero(x.hot[h])
+        place[one] = bucket_of(mixed(history_key[h[one]].astype(np.uint64) ^ mixed(self.ids[w[one]].astype(np.uint64))), self.n)
         live = np.flatnonzero(x.total[h] > 0)
         x.order = live[np.argsort(place[live], kind="stable")]
         x.place, x.h, x.w, x.history_key = place[x.order], h[x.order], w[x.order], history_key
         x.head = np.flatnonzero((np.diff(x.h, prepend=-1) != 0) | (np.diff(x.place.astype(np.int64), prepend=-1) != 0))
-        x.count_below = count[x.lower[x.order]]
-        x.base_below = below.base[below.history_of[x.lower[x.order[x.head]]]] if below else None
+        x.count_below = count[lower[x.order]]
+        x.base_below = below.base[below.history_of[lower[x.order[x.head]]]] if below else None
         x.history_of = h
         return x
 
@@ -305,45 +332,44 @@ class Block:
         runs_upto = np.searchsorted(x.head, upto)
         run_first = np.concatenate([[0], runs_upto[:-1]])
         size = np.diff(np.append(x.head, len(x.h)))
-        out = {
-            "bucket": pa.array(x.place[first].astype(np.int32)),
-            "block": pa.array(np.full(len(first), self.row["block"])),
-            "h": coded_pieces(steps(x.history_key[x.h[x.head]], run_first), runs_upto),
-            "run": coded_pieces(2 * size + x.hot[x.h[x.head]], runs_upto),
-            "w": coded_pieces(steps(self.ids[x.w], x.head), upto),
-            "n": coded_pieces(own, upto),
-            "low": coded_pieces(x.count_below, upto),
-            "base": coded_pieces(x.base_below, runs_upto) if x.base_below is not None else pieces(np.zeros(0, np.uint8), np.zeros(len(first), np.int64)),
-        }
-        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+        parts = [
+            cut(steps(x.history_key[x.h[x.head]], run_first), runs_upto),
+            cut(2 * size + x.hot[x.h[x.head]], runs_upto),
+            cut(steps(self.ids[x.w], x.head), upto),
+            cut(own, upto),
+            cut(x.count_below, upto),
+            cut(x.base_below, runs_upto) if x.base_below is not None else [b""] * len(upto),
+        ]
+        return sent(x.place[first], self.block, map(sealed, *parts))
 
     def answered(self, x: Level, replies: list[dict], known: Order) -> Level:
         """Adds counts of the n-grams, bases of the histories, and weights of those that a word needs."""
-        replies = sorted(replies, key=lambda r: r["bucket"])
-        c = numbers([r["c"] for r in replies])[0]
+        c, low, few_of, mass_of = opened_all(sorted(replies, key=lambda r: r["bucket"])) or [()] * 4
+        c = numbers(c)[0]
         x.count = np.zeros(len(x.key), np.int64)
         x.count[x.order] = c
         head_h = x.h[x.head]
         least = np.full(len(x.total), CUT + 1)
-        least[head_h] = np.frombuffer(b"".join(r["low"] for r in replies), np.uint8)
-        few, mass = np.zeros((len(x.total), CUT), np.int64), np.zeros(len(x.total))
+        least[head_h] = np.frombuffer(b"".join(low), np.uint8)
         wanted = head_h[needed(c, x.head, x.hot[head_h])]
-        few[wanted] = numbers([r["few"] for r in replies])[0].reshape(-1, CUT)
-        mass[wanted] = np.frombuffer(b"".join(r["mass"] for r in replies), float)
+        few, mass = numbers(few_of)[0].reshape(-1, CUT), np.frombuffer(b"".join(mass_of), float)
         hot = np.unique(head_h[x.hot[head_h]])
         spot = np.searchsorted(known.hot, x.history_key[hot])
-        few[hot], mass[hot] = known.few[spot], known.mass[spot]
-        least[hot] = least_count(few[hot])
+        least[hot] = least_count(known.few[spot])
         x.base = known.base(x.total, least)
-        x.weight = known.weight(few, mass, x.base)
+        x.weight = np.zeros(len(x.total))
+        x.weight[wanted] = known.weight(few, mass, x.base[wanted])
+        x.weight[hot] = known.weight(known.few[spot], known.mass[spot], x.base[hot])
+        del x.order, x.place, x.h, x.w, x.head, x.history_key, x.count_below, x.base_below
         return x
 
     def values(self, levels: list[Level], known: list[Order], lowest: Words) -> np.ndarray:
         """Probability of every token, from words up to the highest order."""
-        p = lowest.p(self.count[self.token])
+        p = lowest.p(self.count)[self.token]
         for x, k in zip(levels, known, strict=True):
-            c, h = x.count[x.at], x.history
-            p = np.where(x.total[h] == 0, p, np.where(c > 0, k.seen(c, x.base[h]), x.weight[h] * p))
+            seen = k.seen(x.count, x.base[x.history_of])[x.at]
+            # Where nothing is known of a history, the lower order's probability stands.
+            p = np.where(seen > 0, seen, np.where(x.total == 0, 1.0, x.weight)[x.history] * p)
         return p
 
 
@@ -371,6 +397,10 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {c: batch.column(c)[i].values if c == "keys" else batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
+def sent(buckets: np.ndarray, block: int, data: Iterator[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), block)), pa.array(list(data), pa.binary())], ["bucket", "block", "data"])
+
+
 def dealt(messages: DataFrame, n: int) -> DataFrame:
     return messages.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
 
@@ -379,46 +409,45 @@ def reply(n: int, **columns: object) -> pa.RecordBatch:
     arrays = []
     for f in REPLY:
         x = columns.get(f.name)
-        arrays.append(x if isinstance(x, pa.Array) else pa.nulls(n, f.type) if x is None else pa.array(x, f.type))
+        arrays.append(pa.nulls(n, f.type) if x is None else pa.array(x, f.type))
     return pa.RecordBatch.from_arrays(arrays, schema=REPLY)
 
 
 def count_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Counts and numbers of the words of a bucket: the place by falling count, times n, and the bucket."""
     for rows in each_bucket(batches):
-        sizes = np.array([len(r["w"]) // 8 for r in rows])
-        words, at = np.unique(np.frombuffer(b"".join(r["w"] for r in rows), np.uint64), return_inverse=True)
-        total = np.bincount(at, weights=numbers([r["n"] for r in rows])[0], minlength=len(words)).astype(np.int64)
+        hashes, counts = opened_all(rows)
+        words, at = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
+        total = np.bincount(at, weights=numbers(counts)[0], minlength=len(words)).astype(np.int64)
         ids = np.empty(len(words), np.int64)
         ids[np.argsort(-total, kind="stable")] = np.arange(len(words))
-        bucket, upto = rows[0]["bucket"], np.cumsum(sizes)
+        bucket, upto = rows[0]["bucket"], np.cumsum([len(x) // 8 for x in hashes])
         ids = ids * n + bucket + 1
         ids[total == 0] = 0
         count = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)
         yield reply(1, bucket=[bucket], stats=[[int(total.sum()), int((total > 0).sum()), *count[1 : CUT + 2].tolist(), int(ids.max(initial=0))]])
-        yield reply(len(rows), bucket=[bucket] * len(rows), block=[r["block"] for r in rows], c=coded_pieces(total[at], upto), id=coded_pieces(ids[at], upto))
+        yield reply(len(rows), bucket=[bucket] * len(rows), block=[r["block"] for r in rows], data=list(map(sealed, cut(total[at], upto), cut(ids[at], upto))))
 
 
 def count_grams(batches: Iterator[pa.RecordBatch], below: Order | None, lowest: Words) -> Iterator[pa.RecordBatch]:
     """The table of one order, bucket after bucket: counts of n-grams and, by history, what weights are made of."""
     for rows in each_bucket(batches):
-        get = lambda c: numbers([r[c] for r in rows])
-        key, per = get("h")
-        key = summed(key, per)
-        run = get("run")[0]
+        keys, lengths, words, own, lower, bases = opened_all(rows)
+        key, per = numbers(keys)
+        key, run = summed(key, per), numbers(lengths)[0]
         hot, run = run % 2 > 0, run // 2
-        head = np.cumsum(run) - run
+        head, own_n = np.cumsum(run) - run, numbers(own)[0]
         hist, of_run = np.unique(key, return_inverse=True)
-        grams, at = np.unique(np.repeat(of_run, run) << 32 | summed(get("w")[0], run), return_inverse=True)
-        c = np.bincount(at, weights=get("n")[0], minlength=len(grams)).astype(np.int64)
+        grams, at = np.unique(of_run[run_of(head, len(own_n))] << 32 | summed(numbers(words)[0], run), return_inverse=True)
+        c = np.bincount(at, weights=own_n, minlength=len(grams)).astype(np.int64)
         of, seen = grams >> 32, c > 0
         low = np.zeros(len(grams), np.int64)
-        low[at] = get("low")[0]
+        low[at] = numbers(lower)[0]
         if below is None:
             p = lowest.p(low)
         else:
             base = np.ones(len(hist), np.int64)
-            base[of_run] = get("base")[0]
+            base[of_run] = numbers(bases)[0]
             p = below.seen(low, base[of])
         few = np.stack([np.bincount(of[c == r], minlength=len(hist)) for r in range(1, CUT + 1)], 1)
         mass = np.bincount(of[seen], weights=p[seen], minlength=len(hist))
@@ -431,16 +460,22 @@ def count_grams(batches: Iterator[pa.RecordBatch], below: Order | None, lowest:
             yield reply(len(j), bucket=[bucket] * len(j), h=hist[j], stats=few[j].tolist(), part=mass[j])
         c_all = c[at]
         want = needed(c_all, head, hot)
-        upto, runs_upto = np.cumsum([0, *run])[np.cumsum(per)], np.cumsum(per)
-        want_upto = np.cumsum([0, *want])[runs_upto]
+        runs_upto = np.cumsum(per)
+        upto = np.concatenate([[0], np.cumsum(run)])[runs_upto]
+        want_upto = np.concatenate([[0], np.cumsum(want)])[runs_upto]
         yield reply(
             len(rows),
             bucket=[bucket] * len(rows),
             block=[r["block"] for r in rows],
-            c=coded_pieces(c_all, upto),
-            low=pieces(least_count(few)[of_run].astype(np.uint8), runs_upto),
-            few=coded_pieces(few[of_run[want]].reshape(-1), CUT * want_upto),
-            mass=pieces(mass[of_run[want]].view(np.uint8), 8 * want_upto),
+            data=list(
+                map(
+                    sealed,
+                    cut(c_all, upto),
+                    raw_cut(least_count(few)[of_run].astype(np.uint8), runs_upto),
+                    cut(few[of_run[want]].reshape(-1), CUT * want_upto),
+                    raw_cut(mass[of_run[want]].view(np.uint8), 8 * want_upto),
+                )
+            ),
         )
 
 
@@ -455,18 +490,22 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
-    space = work_database(spark)
+    space, kind = work_database(spark), dict(docs.dtypes)[key]
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").saveAsTable(f"{space}.{name}")
+    def stored(df: DataFrame, name: str, by: str) -> DataFrame:
+        df.write.bucketBy(parts, by).option("compression", "zstd").saveAsTable(f"{space}.{name}")
         return spark.table(f"{space}.{name}")
 
+    def replied(df: DataFrame, name: str) -> DataFrame:
+        """Replies by block, next to the blocks; sums anywhere."""
+        to = F.coalesce(F.col("block"), F.xxhash64("bucket", "h"))
+        return stored(df.withColumn("to", to).repartition(parts, "to"), name, "to")
+
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     most = max(BLOCK_TOKENS, math.isqrt(MESSAGE * size // 5))
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks_of(docs, key, text, held, most).write.bucketBy(parts, "block").option("compression", "zstd").saveAsTable(f"{space}.blocks")
-    blocks = spark.table(f"{space}.blocks")
-    n = max(1, -(-blocks.count() // 2))  # the load of a table partition is that of two blocks
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // (10 * most))
+    blocks = stored(blocks_of(docs, key, text, held, most), "blocks", "block")
+    n = max(1, math.ceil(blocks.count() / LOAD))
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -475,49 +514,63 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
             by = np.argsort(at, kind="stable")
             first = np.flatnonzero(np.diff(at[by].astype(np.int64), prepend=-1))
             upto = np.append(first[1:], len(by))
-            out = [pa.array(at[by][first].astype(np.int32)), pa.array(np.full(len(first), row["block"])), pieces(vocab[by].view(np.uint8), 8 * upto), coded_pieces(counts[by], upto)]
-            yield pa.RecordBatch.from_arrays(out, ["bucket", "block", "w", "n"])
+            yield sent(at[by][first], row["block"], map(sealed, raw_cut(vocab[by].view(np.uint8), 8 * upto), cut(counts[by], upto)))
 
-    asked = blocks.select("block", "vocab", "counts").mapInArrow(ask_words, "bucket int, block long, w binary, n binary")
-    replies = [stored(dealt(asked, n).mapInArrow(lambda b: count_words(b, n), REPLY_SQL), "replies1")]
+    asked = blocks.select("block", "vocab", "counts").mapInArrow(ask_words, ASK_SQL)
+    words = replied(dealt(asked, n).mapInArrow(lambda b: count_words(b, n), REPLY_SQL), "replies1")
     places = [F.coalesce(F.sum(F.element_at("stats", i + 1)), F.lit(0)) for i in range(CUT + 3)]
-    total, vocabulary, *ones, greatest = replies[0].filter("stats IS NOT NULL").agg(*places, F.max(F.element_at("stats", CUT + 4))).first()
-    if greatest is not None and greatest >= (1 << (62 // (order - 1))) - 1:
+    total, vocabulary, *ones, greatest = words.filter("stats IS NOT NULL").agg(*places, F.max(F.element_at("stats", CUT + 4))).first()
+    bits = ((greatest or 0) + 1).bit_length()  # for the number of a word; all ones is the unknown word
+    if bits * (order - 1) > 62:
         raise ValueError(f"{vocabulary} different words are too many for histories of {order - 1} words")
     lowest, limit = Words(total, ones), total // HOT
 
-    def joined(*columns: str) -> DataFrame:
-        out = blocks
-        for i, r in enumerate(replies):
-            own = r.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", *ANSWER)).alias(f"r{i + 1}"))
-            out = out.join(own, "block", "left" if i else "inner")
-        return out.select("block", *columns, "held", "sizes", "vocab", "tokens", *(f"r{i + 1}" for i in range(len(replies))))
+    def joined(base: DataFrame, numbered_replies: dict[int, DataFrame]) -> DataFrame:
+        out = base
+        for k, r in numbered_replies.items():
+            own = r.filter("block IS NOT NULL").groupBy("to").agg(F.collect_list(F.struct("bucket", "data")).alias(f"r{k}"))
+            out = out.join(own, out["block"] == own["to"], "left").drop("to")
+        return out
+
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [numbered(row, n, bits) for row in rows_of(iter([batch]))]
+            new = [pa.array([m[c] for m in made], t) for c, t in (("words", pa.binary()), ("ends", pa.int64()), ("tokens", pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "keys", "held", "sizes")), *new], ["block", "keys", "held", "sizes", "words", "ends", "tokens"])
+
+    found = joined(blocks, {1: words}).select("block", "keys", "held", "sizes", "vocab", "tokens", "r1")
+    fresh = found.mapInArrow(renumber, f"block long, keys array<{kind}>, held array<boolean>, sizes binary, words binary, ends long, tokens binary")
+    blocks = stored(fresh, "numbered", "block")
+    for used in ("blocks", "replies1"):
+        spark.sql(f"DROP TABLE {space}.{used}")
 
     def opened(row: dict, known: list[Order]) -> tuple[Block, list[Level]]:
-        b, levels = Block(row, n, order), []
+        b, levels = Block(row, n, bits), []
+        del row["words"], row["tokens"]
         for i, k in enumerate(known):
             x = b.level(levels[-1] if levels else None, limit)
-            levels.append(b.answered(x, row[f"r{i + 2}"] or [], k))
+            levels.append(b.answered(x, row.pop(f"r{i + 2}") or [], k))
         return b, levels
 
     known: list[Order] = []
+    replies: dict[int, DataFrame] = {}
     for k in range(2, order + 1):
 
         def ask(batches: Iterator[pa.RecordBatch], known: tuple = tuple(known)) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 b, levels = opened(row, list(known))
-                if (sent := b.message(b.level(levels[-1] if levels else None, limit))) is not None:
-                    yield sent
+                if (rows := b.message(b.level(levels[-1] if levels else None, limit))) is not None:
+                    yield rows
 
         def count(batches: Iterator[pa.RecordBatch], below: Order | None = known[-1] if known else None) -> Iterator[pa.RecordBatch]:
             return count_grams(batches, below, lowest)
 
-        asked = joined().mapInArrow(ask, ASK_SQL)
-        replies.append(stored(dealt(asked, n).mapInArrow(count, REPLY_SQL), f"replies{k}"))
-        ones = replies[-1].filter("stats IS NOT NULL AND h IS NULL").agg(*places).first()[2:]
+        asked = joined(blocks, replies).drop("keys").mapInArrow(ask, ASK_SQL)
+        replies[k] = replied(dealt(asked, n).mapInArrow(count, REPLY_SQL), f"replies{k}")
+        ones = replies[k].filter("stats IS NOT NULL AND h IS NULL").agg(*places).first()[2:]
         # Sums of the hot histories: fewer than HOT rows.
         sums = [F.sum(F.element_at("stats", i + 1)).alias(f"s{i}") for i in range(CUT)]
-        rows = replies[-1].filter("h IS NOT NULL").groupBy("h").agg(*sums, F.sum("part").alias("part")).orderBy("h").collect()
+        rows = replies[k].filter("h IS NOT NULL").groupBy("h").agg(*sums, F.sum("part").alias("part")).orderBy("h").collect()
         few = np.array([[r[f"s{i}"] for i in range(CUT)] for r in rows], np.int64).reshape(-1, CUT)
         known.append(Order(list(ones), np.array([r["h"] for r in rows], np.int64), few, np.array([r["part"] for r in rows], float)))
 
@@ -530,17 +583,15 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
             own += [pa.array(summed_up(np.log10((each + 1) / (total + vocabulary + 1)))), pa.array(summed_up(np.log10(b.values(levels, known, lowest))))]
             yield pa.RecordBatch.from_arrays([row["keys"], pa.array(row["held"], pa.bool_()), *own], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    kind = dict(docs.dtypes)[key]
-    out = joined("keys").mapInArrow(evaluate, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = joined(blocks, replies).mapInArrow(evaluate, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = work_table(spark, out, "katz-scores")
     spark.sql(f"DROP DATABASE {space} CASCADE")
     return out
 
 
-ASK_SQL = "bucket int, block long, h binary, run binary, w binary, n binary, low binary, base binary"
-ANSWER = ("c", "id", "low", "few", "mass")
-REPLY = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ANSWER), ("stats", pa.list_(pa.int64())), ("h", pa.int64()), ("part", pa.float64())])
-REPLY_SQL = "bucket int, block long, c binary, id binary, low binary, few binary, mass binary, stats array<long>, h long, part double"
+ASK_SQL = "bucket int, block long, data binary"
+REPLY = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("stats", pa.list_(pa.int64())), ("h", pa.int64()), ("part", pa.float64())])
+REPLY_SQL = "bucket int, block long, data binary, stats array<long>, h long, part double"
 
 
 def hold_out(docs: DataFrame, key: str = "doc_id") -> DataFrame:
