@@ -62,6 +62,8 @@ def test_positional(spark, docs, empty):
     pattern, lower = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {i: i + 32 for i in range(65, 91)}
     words = lambda t: pattern.findall((t or "").translate(lower))
     rows = got(positional.digest(positional.contamination(spark, docs, items)))
+    # A benchmark of several slices, each smaller than an item, gives the same.
+    assert got(positional.digest(positional.contamination(spark, docs, items, most=10))) == rows
     assert len(rows) == len(plain())
     for i, t in plain().items():
         own, hit, found = words(t), set(), set()
@@ -253,13 +255,14 @@ def test_pieces(docs, empty):
     assert pieces.round_trip(empty, path).count() == 0
 
 
-def test_repeats(spark, docs, empty):
+def test_repeats(spark, docs, empty, monkeypatch):
     want = plain()
     starts = Counter()
     for t in want.values():
         b = t.encode()
         starts.update(b[i : i + 200] for i in range(len(b) - 199))
-    for group in (4096, 1):
+    for group, heavy in ((4096, 4096), (1, 4096), (4096, 1 << 40)):
+        monkeypatch.setattr(repeats, "HEAVY", heavy)
         marks = repeats.repeated_windows
         original = marks.__defaults__
         marks.__defaults__ = (group,)
@@ -279,6 +282,18 @@ def test_repeats(spark, docs, empty):
     assert repeats.remove_repeats(spark, empty).count() == 0
 
 
+def test_factors_of_places():
+    """Earlier and later equal prefixes, by the definition."""
+    r = random.Random(9)
+    for _ in range(200):
+        n = r.randint(1, 30)
+        label = np.sort(np.array([r.randint(0, 6) for _ in range(n)]))
+        places = np.array(r.sample(range(n), n))
+        earlier, later = repeats.factors(places, label)
+        assert earlier.tolist() == [any(label[j] == label[i] and places[j] < places[i] for j in range(n)) for i in range(n)]
+        assert later.tolist() == [any(label[j] == label[i] and places[j] > places[i] for j in range(n)) for i in range(n)]
+
+
 def test_factors_and_keep_first():
     r = random.Random(4)
     for _ in range(80):
@@ -309,12 +324,44 @@ def test_sketches(spark, docs, empty):
     assert merged == sorted({h for r in parts.collect() for h in r.sketch})[: sketches.SIZE]
 
 
+def test_positional_keys(spark):
+    """Text keys, null and repeated keys: each row is judged by its own text."""
+    docs = spark.createDataFrame([("a", "one two three"), ("a", "two one"), (None, "x one two"), (None, None)], "doc_id string, text string")
+    items = spark.createDataFrame([(None, "one two"), ("b", "one  TWO")], "item_id string, text string")
+    for most in (1, 1 << 20):
+        rows = positional.contamination(spark, docs, items, most=most).collect()
+        assert sorted((r.doc_id or "", r.n_words, r.n_hit, *r["items"]) for r in rows) == [("", 0, 0), ("", 3, 2, "", "b"), ("a", 2, 0), ("a", 3, 2, "", "b")]
+
+
+@pytest.mark.parametrize(("rows", "most"), [(9, 1 << 20), (1000, 100)])
+def test_token_files_cut_by_bytes(spark, docs, rows, most, monkeypatch):
+    """A key that most rows share, null keys and small shards: all rows are there, in order; each key is found."""
+    monkeypatch.setattr(token_files, "SHARD_BYTES", most)
+    monkeypatch.setattr(token_files, "DIRECTORY_KEYS", 20)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    hot = docs.select(F.when(F.col("doc_id") % 3 > 0, 7).when(F.col("doc_id") == 6, None).otherwise(F.col("doc_id")).cast("int").alias("doc_id"), "text", "lang")
+    folder = token_files.new_folder(spark)
+    shards = token_files.write(spark, hot, folder, path, end_id=2, rows=rows)
+    found = token_files.read(spark, folder, shards).orderBy("start").collect()
+    keys = [r.doc_id for r in found]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k)) and len(keys) == hot.count()
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+    assert most > 100 or len(shards) > 10
+    store = token_files.TokenStore(folder)
+    for k in set(keys) - {None}:
+        first = next(r for r in found if r.doc_id == k)
+        assert zlib.crc32(store.get(k).astype("<u4").tobytes()) == first.ids_crc32
+    assert store.get(8) is None and store.get(-1) is None
+    with pytest.raises(ValueError, match="integers"):
+        token_files.write(spark, docs.select(F.col("lang").alias("doc_id"), "text"), folder, path, 2)
+
+
 def test_token_files(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     folder = token_files.new_folder(spark)
     repeated = docs.select("doc_id", "text").union(docs.select(F.lit(None).cast("long"), "text").limit(2))
-    shards = token_files.write(repeated, folder, path, end_id=2, rows=9)
+    shards = token_files.write(spark, repeated, folder, path, end_id=2, rows=9)
     rows = got(token_files.read(spark, folder, shards).filter("doc_id IS NOT NULL"))
     start = sum(s["ids"] for s in shards) - sum(r.n_tokens for r in rows.values())
     store = token_files.TokenStore(folder)
@@ -325,7 +372,7 @@ def test_token_files(spark, docs, empty):
         start += len(ids)
     assert store.get(10**9) is None
     nothing = token_files.new_folder(spark)
-    assert token_files.read(spark, nothing, token_files.write(empty, nothing, path, 2)).count() == 0
+    assert token_files.read(spark, nothing, token_files.write(spark, empty, nothing, path, 2)).count() == 0
 
 
 def test_perfect_hash():
