@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: No table is cut into more ranges; they get larger beyond.
+MOST_RANGES = 1 << 14
+
+
 def key_bounds(df: DataFrame, key: str, rows: int, least: int = 1) -> list[int]:
-    """Ascending lower bounds of the second and later ranges, each of about ``rows`` rows.
+    """Ascending lower bounds of the second and later ranges, each of about ``rows`` rows, or MOST_RANGES ranges.
 
     Only the key column is read.  The driver holds one number for each range.
     """
     n, low = df.agg(F.count(F.lit(1)), F.min(key)).first()
-    parts = max(least, -(-n // rows))
+    parts = min(MOST_RANGES, max(least, -(-n // rows)))
     if low is None or parts < 2:
         return []
     cuts = [i / parts for i in range(1, parts)]

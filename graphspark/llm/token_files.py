@@ -1,6 +1,7 @@
 """Binary files of token ids with a minimal perfect hash index.
 
-A store is a folder of shard files in ascending key order and a ``manifest.json``.  A shard:
+A store is a folder of shard files in ascending key order, directory files and a
+``manifest.json``.  A shard:
 
     magic "TOKSHRD1", then 8 little-endian uint64: rows, ids, id width, slots, levels,
     words of level bits, distinct keys, null keys
@@ -12,12 +13,17 @@ A store is a folder of shard files in ascending key order and a ``manifest.json`
     slots uint32      row of the key in each slot
     slots uint32      fingerprint of that key
 
-A key is looked up by hashing it level by level until its bit is set; the number of set bits
-before is its slot.  The fingerprint tells keys that are not there, up to one in 2**32.
-
-Defined results: null and empty texts have the end id alone; null keys are stored first and
-cannot be looked up; of rows with one key, the lookup gives the first in order of their ids;
-other columns are ignored; an empty table makes a store without shards.
+A directory file holds the keys of one hash bucket: magic "TOKDIRS1", 3 uint64 (slots, levels,
+words), levels and words as above, and for each slot the number of its shard and a fingerprint
+(uint32 each).  A key is looked up in constant time, however many shards there are: its hash
+names the directory file, whose perfect hash names the shard, whose perfect hash names the row.
+At each level of a perfect hash the key's bit is looked at; where it is set, the number of set
+bits before is the slot.  The fingerprint tells keys that are not there, up to one in 2**32.
+
+Keys are integers.  Defined results: null and empty texts have the end id alone; null keys are
+stored first and cannot be looked up; of rows with one key, the lookup gives the first in order
+of their ids; other columns, whatever their names, are ignored; an empty table makes a store
+without shards.
 """
 
 from __future__ import annotations
@@ -28,20 +34,29 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, shared_dir, text_slices, texts_of
-from .ranges import key_bounds, range_of
+from .ranges import key_bounds
 
 MAGIC = b"TOKSHRD1"
 HEAD = struct.Struct("<8Q")
-WORD_ENTRIES = 700_000
+WORD_ENTRIES = 400_000
+#: Shards are closed at this many bytes of ids, or rows.
+SHARD_BYTES = 32 << 20
+SHARD_ROWS = 1 << 16
+DIRECTORY_KEYS = 1 << 20
+DIRECTORY = b"TOKDIRS1"
+DIRECTORY_HEAD = struct.Struct("<3Q")
+DIRECTORY_SEED = 7_777_777
+OPEN_SHARDS = 64
 WORDS_A_CALL = 256
 BETWEEN = "\x01"
 #: Characters that Python takes for white space and the tokenizer does not.
@@ -59,6 +74,7 @@ class WordTable:
         self.kind = np.dtype(f"<u{width}")
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Words are encoded many at a time with a control character as a word between them; its
         # one id can come from nothing else.
         alone = self.library.encode(BETWEEN, add_special_tokens=False).ids
@@ -88,9 +104,14 @@ class WordTable:
         # A special string could reach across white space, so such texts go to the library whole.
         odd = [any(s in t for s in self.specials) or any(c in t for c in ODD_SPACE) for t in texts]
         cut = [[] if o else t.split() for o, t in zip(odd, texts, strict=True)]
-        if len(self.ids) > WORD_ENTRIES:
-            self.ids.clear()
-        new = list(set().union(*cut).difference(self.ids))
+        if len(self.ids) > WORD_ENTRIES:  # words of the last but one filling that were met again stay
+            self.older, self.ids = self.ids, {}
+        new = set().union(*cut).difference(self.ids)
+        if self.older:
+            again = new.intersection(self.older)
+            self.ids.update((w, self.older[w]) for w in again)
+            new -= again
+        new = list(new)
         if new:
             self.ids.update(zip(new, self.words(new), strict=True))
         got = self.ids.__getitem__
@@ -211,90 +232,185 @@ class Shard:
         return np.frombuffer(self.file.read_at(self.n_ids * self.width, self.data), f"<u{self.width}")
 
 
+def directory_bytes(keys: np.ndarray, shards: np.ndarray) -> bytes:
+    """One directory file; ``keys`` are distinct."""
+    table = PerfectHash.build(keys)
+    slots = table.slot(keys)
+    shard_of, mark = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4")
+    shard_of[slots], mark[slots] = shards, fingerprint(keys)
+    head = DIRECTORY_HEAD.pack(len(keys), len(table.levels), len(table.words))
+    return b"".join([DIRECTORY, head, table.levels.astype("<u8").tobytes(), table.words.astype("<u8").tobytes(), shard_of.tobytes(), mark.tobytes()])
+
+
+class Directory:
+    """A directory file opened: the shard of each of its keys."""
+
+    def __init__(self, path: str):
+        store, name = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(name) as f:
+            data = f.read()
+        if data[:8] != DIRECTORY:
+            raise ValueError(f"{path} is no directory of token ids")
+        slots, levels, words = DIRECTORY_HEAD.unpack_from(data, 8)
+        at = 8 + DIRECTORY_HEAD.size
+        bits = np.frombuffer(data, "<u8", levels, at).astype(np.int64)
+        self.hash = PerfectHash(bits, np.frombuffer(data, "<u8", words, at + 8 * levels))
+        self.shard_of = np.frombuffer(data, "<u4", slots, at + 8 * (levels + words))
+        self.mark = np.frombuffer(data, "<u4", slots, at + 8 * (levels + words) + 4 * slots)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of the shard of each key, or -1."""
+        if not len(self.mark):
+            return np.full(len(keys), -1)
+        slot = self.hash.slot(keys)
+        there = (slot >= 0) & (self.mark[slot] == fingerprint(keys))
+        return np.where(there, self.shard_of[slot].astype(np.int64), -1)
+
+
+def directory_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(keys, DIRECTORY_SEED) % np.uint64(n)).astype(np.int64)
+
+
 class TokenStore:
-    """Keyed access to a written store."""
+    """Keyed access to a written store: three reads a key, two where the directory file is known."""
 
     def __init__(self, folder: str):
         store, name = fs.FileSystem.from_uri(folder)
         with store.open_input_stream(f"{name}/manifest.json") as f:
-            self.shards = json.loads(f.read())["shards"]
-        self.folder, self.open = folder, {}
+            manifest = json.loads(f.read())
+        self.folder, self.shards, self.directories = folder, manifest["shards"], manifest["directories"]
+        self.opened = lru_cache(OPEN_SHARDS)(lambda file: Shard(f"{folder}/{file}"))
+        self.listed = lru_cache(OPEN_SHARDS)(lambda file: Directory(f"{folder}/{file}"))
 
     def get(self, key: int) -> np.ndarray | None:
         """The ids of a key, or None."""
-        for s in self.shards:
-            if s["low"] is not None and s["low"] <= key <= s["high"]:
-                if s["file"] not in self.open:
-                    self.open[s["file"]] = Shard(f"{self.folder}/{s['file']}")
-                shard = self.open[s["file"]]
-                if (row := int(shard.find(np.array([key]))[0])) >= 0:
-                    return shard.ids(row)
-        return None
-
-
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key and ``ids``, the raw little-endian ids of the text and the end id."""
+        if not self.directories:
+            return None
+        own = np.array([key], np.int64)
+        number = int(self.listed(self.directories[int(directory_of(own, len(self.directories))[0])]).find(own)[0])
+        if number < 0 or number >= len(self.shards):
+            return None
+        shard = self.opened(self.shards[number]["file"])
+        row = int(shard.find(own)[0])
+        return shard.ids(row) if row >= 0 else None
+
+
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, key: str = "doc_id", text: str = "text", bounds: list[int] | None = None) -> DataFrame:
+    """The key and ``ids``, the raw little-endian ids of the text and the end id; with ``bounds``, the number of the key's range before them."""
     kind = dict(docs.dtypes)[key]
+    edges = None if bounds is None else np.array(bounds, np.int64)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_table(tokenizer_path, width), np.array([end_id], f"<u{width}").tobytes()
         for batch in text_slices(batches, text):
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([x + end for x in words.encode(texts_of(batch, text))], pa.binary())], [key, "ids"])
+            ids = pa.array([x + end for x in words.encode(texts_of(batch, text))], pa.binary())
+            if edges is None:
+                yield pa.RecordBatch.from_arrays([batch.column(key), ids], [key, "ids"])
+            else:
+                keys = batch.column(key).cast(pa.int64())
+                part = np.searchsorted(edges, pa.compute.fill_null(keys, -(1 << 63)).to_numpy(zero_copy_only=False), "right")
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), keys, ids], ["part", "key", "ids"])
 
-    return map_texts(docs, kernel, f"`{key}` {kind}, ids binary", key, text)
+    return map_texts(docs, kernel, f"`{key}` {kind}, ids binary" if edges is None else "part int, key long, ids binary", key, text)
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", rows: int = 4096) -> list[dict]:
+def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", rows: int = 4096) -> list[dict]:
     """Write a store of ``docs`` to ``folder`` (a URI) and return its manifest's shards.
 
-    The table is cut into key ranges of about ``rows`` rows, one shard each; a task holds one
-    shard in memory.  A task that runs again writes other file names, and the manifest, written
-    last, lists only files of tasks that ended.
+    The table is cut into key ranges of about ``rows`` rows, 2**14 of them at most, and a range into
+    shards of SHARD_BYTES; a task holds one shard in memory, however many rows share a key.  A task
+    that runs again writes other file names, and the manifest, written last, lists only files of
+    tasks that ended.
     """
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"keys are integers, {key} is {dict(docs.dtypes)[key]}")
     width = id_width(tokenizer_path)
     bounds = key_bounds(docs, key, rows)
-    ids = encode(docs, tokenizer_path, end_id, width, key, text).select(range_of(key, bounds).alias("_shard"), F.col(key).cast("long").alias("_key"), "ids")
-    dealt = ids.repartition(len(bounds) + 1, "_shard").sortWithinPartitions("_shard", F.col("_key").asc_nulls_first(), "ids")
+    dealt = encode(docs, tokenizer_path, end_id, width, key, text, bounds).repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), "ids")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, name = fs.FileSystem.from_uri(folder)
-        at, keys, payload = None, [], []
+        at, made, size, keys, payload = None, 0, 0, [], []
 
         def close() -> pa.RecordBatch:
             nulls = sum(k is None for k in keys)
             array = np.array([k or 0 for k in keys], np.int64)
-            file = f"shard-{at:06d}-{uuid.uuid4().hex}.tok"
+            file = f"shard-{at:06d}-{made:06d}-{uuid.uuid4().hex}.tok"
             with store.open_output_stream(f"{name}/{file}") as out:
                 out.write(shard_bytes(array, nulls, payload, width))
-            known = array[nulls:]
-            row = {"shard": at, "file": file, "rows": len(keys), "ids": sum(map(len, payload)) // width, "low": int(known[0]) if len(known) else None, "high": int(known[-1]) if len(known) else None}
+            row = {"part": at, "piece": made, "file": file, "rows": len(keys), "ids": size // width}
             return pa.RecordBatch.from_pylist([row], SHARD)
 
         for batch in batches:
-            for shard, k, x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if shard != at:
-                    if keys:
-                        yield close()
-                    at, keys, payload = shard, [], []
+            for part, k, x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if keys and (part != at or size >= SHARD_BYTES or len(keys) >= SHARD_ROWS):
+                    yield close()
+                    made, size, keys, payload = (made + 1 if part == at else 0), 0, [], []
+                at = part
                 keys.append(k)
                 payload.append(x)
+                size += len(x)
         if keys:
             yield close()
 
     store, name = fs.FileSystem.from_uri(folder)
     store.create_dir(name)
-    made = dealt.mapInArrow(kernel, "shard int, file string, rows long, ids long, low long, high long")
-    shards = sorted((r.asDict() for r in made.collect()), key=lambda s: s["shard"])  # one row a shard
+    made = dealt.mapInArrow(kernel, "part int, piece int, file string, rows long, ids long")
+    shards = sorted((r.asDict() for r in made.collect()), key=lambda s: (s["part"], s["piece"]))  # one row a shard
     before = 0
     for s in shards:
         s["start"] = before
         before += s["ids"]
+    directories = write_directories(spark, folder, shards)
     with store.open_output_stream(f"{name}/manifest.json") as out:
-        out.write(json.dumps({"width": width, "shards": shards}).encode())
+        out.write(json.dumps({"width": width, "shards": shards, "directories": directories}).encode())
     return shards
 
 
-SHARD = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("rows", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+def write_directories(spark: SparkSession, folder: str, shards: list[dict]) -> list[str]:
+    """Directory files of the keys in all shards, by hash bucket; a key in several shards is in the first."""
+    n = -(-sum(s["rows"] for s in shards) // DIRECTORY_KEYS)
+    if not n:
+        return []
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shard = Shard(f"{folder}/{file}")
+                keys = np.unique(shard.keys[shard.nulls :])
+                yield pa.RecordBatch.from_arrays([pa.array(directory_of(keys, n).astype(np.int32)), pa.array(keys, pa.int64()), pa.array(np.full(len(keys), number, np.int64))], ["bucket", "key", "shard"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, name = fs.FileSystem.from_uri(folder)
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        bucket, key, shard = (rows.column(c).to_numpy() for c in ("bucket", "key", "shard"))
+        for b in np.unique(bucket).tolist():
+            own = bucket == b
+            order = np.lexsort((shard[own], key[own]))
+            keys, first = np.unique(key[own][order], return_index=True)
+            file = f"keys-{b:06d}-{uuid.uuid4().hex}.tok"
+            with store.open_output_stream(f"{name}/{file}") as out:
+                out.write(directory_bytes(keys, shard[own][order][first]))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([file])], ["bucket", "file"])
+
+    listed = spark.createDataFrame([(s["file"], i) for i, s in enumerate(shards)], "file string, number long").repartition(min(len(shards), 1 << 14))
+    dealt = listed.mapInArrow(keys_of, "bucket int, key long, shard long").repartition(n, "bucket")
+    files = {r.bucket: r.file for r in dealt.mapInArrow(kernel, "bucket int, file string").collect()}
+    if not files:
+        return []
+    missing = [b for b in range(n) if b not in files]
+    store, name = fs.FileSystem.from_uri(folder)
+    for b in missing:  # a bucket without keys
+        files[b] = f"keys-{b:06d}-empty.tok"
+        with store.open_output_stream(f"{name}/{files[b]}") as out:
+            out.write(directory_bytes(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    return [files[b] for b in range(n)]
+
+
+SHARD = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("file", pa.string()), ("rows", pa.int64()), ("ids", pa.int64())])
 
 
 def read(spark: SparkSession, folder: str, shards: list[dict], key: str = "doc_id") -> DataFrame:
