@@ -33,6 +33,7 @@ from .common import text_slices, work_table
 
 GRAM = 64
 GROUP = 4096
+HEAVY = 4096
 SLICE = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 PLACE_BITS = 24
@@ -61,13 +62,15 @@ def suffix_array(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def smaller_neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the previous and the next smaller value, or -1 and n, by pointer jumping."""
     n = len(values)
-    padded = np.concatenate([values, [-1]])
+    padded = np.concatenate([values, [np.iinfo(np.int64).min]])
     before = np.arange(n) - 1
-    while (bad := np.flatnonzero((before >= 0) & (padded[before] > values))).size:
-        before[bad] = before[before[bad]]
+    todo = np.arange(n)
+    while (todo := todo[(before[todo] >= 0) & (padded[before[todo]] > values[todo])]).size:
+        before[todo] = before[before[todo]]
     after = np.arange(n) + 1
-    while (bad := np.flatnonzero((after < n) & (padded[np.minimum(after, n)] > values))).size:
-        after[bad] = after[after[bad]]
+    todo = np.arange(n)
+    while (todo := todo[(after[todo] < n) & (padded[np.minimum(after[todo], n)] > values[todo])]).size:
+        after[todo] = after[after[todo]]
     return before, after
 
 
@@ -119,12 +122,28 @@ def truncated_order(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[n
     return live[order], label[order]
 
 
+def factors(places: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each place in suffix order has a factor before it, and one behind it.
+
+    ``places`` stand in suffix order, ``label`` tells equal prefixes.  The nearest smaller places on
+    either side are the only candidates for the longest earlier factor, the nearest greater ones
+    for the longest later one; it is as long as the order is deep where the labels agree.
+    """
+    out = []
+    for values in (places, -places):
+        found = np.zeros(len(places), bool)
+        before, after = smaller_neighbours(values)
+        for other, has in ((before, before >= 0), (after, after < len(places))):
+            found[has] |= label[other[has]] == label[has]
+        out.append(found)
+    return out[0], out[1]
+
+
 def factor_starts(contents: list[bytes], spans: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(content, start, earlier) of window starts with a factor of ``least`` bytes elsewhere.
 
-    The factor arrays are cut off at ``least``: within a class of equal prefixes the previous
-    smaller position in suffix order is the neighbour before, the next smaller from the right
-    end the neighbour behind.  ``earlier`` tells that a factor stands before it.
+    The contents stand one behind the other; factor arrays over their windows, cut off at
+    ``least``, are read from both ends.  ``earlier`` tells that a factor stands before a window.
     """
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     base = np.cumsum(sizes) - sizes
@@ -133,9 +152,9 @@ def factor_starts(contents: list[bytes], spans: list[int], least: int) -> tuple[
     live, label = truncated_order(data, base[row] + offset, least)
     if not len(live):
         return row[:0], offset[:0], np.zeros(0, bool)
-    first = np.concatenate([[True], label[1:] != label[:-1]])
-    previous = np.where(first, -1, np.concatenate([[-1], live[:-1]]))
-    return row[live], offset[live], previous >= 0
+    earlier, later = factors(live, label)
+    keep = earlier | later
+    return row[live[keep]], offset[live[keep]], earlier[keep]
 
 
 # --- windows, anchors and runs of texts ----------------------------------------------------
@@ -240,9 +259,14 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, least: int, group: in
     key = ["k", "k2", "n"]
     found = work_table(spark, corpus_runs(docs, least), "runs")
     anchors = found.groupBy("h").agg(F.count(F.lit(1)).alias("runs"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("off").alias("o0"), F.max("off").alias("o1"), F.min("span").alias("s0"), F.max("span").alias("s1"))
-    shared = anchors.filter("runs > 1").select("h", F.expr("c0 <> c1 OR o0 <> o1 OR s0 <> s1").alias("mixed"))
-    # Occurrences at anchors that stand twice; equal texts make equal rows, counted as copies.
-    occur = work_table(spark, found.join(shared, "h").groupBy(*kind, "mixed", *key, "at").agg(F.count(F.lit(1)).alias("copies")), "shared-runs")
+    shared = anchors.filter("runs > 1").select("h", "runs", F.expr("c0 <> c1 OR o0 <> o1 OR s0 <> s1").alias("mixed"))
+    # Occurrences at anchors that stand twice; equal texts make equal rows, counted as copies.  Anchors of
+    # more than one in HEAVY runs are fewer than HEAVY: they are broadcast, and their runs stay where they are.
+    shared = work_table(spark, shared.select("*", (F.col("runs") > found.count() // HEAVY).alias("heavy")), "shared-anchors")
+    heavy = F.broadcast(shared.filter("heavy").select("h", "mixed"))
+    rest = found.join(F.broadcast(shared.filter("heavy").select("h")), "h", "left_anti").join(shared.filter("NOT heavy").select("h", "mixed"), "h")
+    both = found.join(heavy, "h").unionByName(rest)
+    occur = work_table(spark, both.groupBy(*kind, "mixed", *key, "at").agg(F.count(F.lit(1)).alias("copies")), "shared-runs")
     kinds = work_table(spark, occur.groupBy(*kind, "mixed").agg(F.sum("copies").alias("copies"), F.min(F.struct(*key, "at")).alias("first")), "run-kinds")
     whole = kinds.filter("copies > 1").select(*kind, F.lit(0).alias("a"), F.col("span").alias("b"))
 
