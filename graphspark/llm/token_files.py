@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,17 +39,18 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared_dir, text_slices, texts_of
+from .common import gather_ragged, map_texts, runs, shared_dir, text_slices
 from .ranges import key_bounds
 
 MAGIC = b"TOKSHRD1"
 HEAD = struct.Struct("<8Q")
 WORD_ENTRIES = 400_000
+SLICE = 4 << 20
 #: Shards are closed at this many bytes of ids, or rows.
 SHARD_BYTES = 32 << 20
 SHARD_ROWS = 1 << 16
@@ -59,12 +61,12 @@ DIRECTORY_SEED = 7_777_777
 OPEN_SHARDS = 64
 WORDS_A_CALL = 256
 BETWEEN = "\x01"
-#: Characters that Python takes for white space and the tokenizer does not.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: White space, by one reading or another, that is not ASCII white space.
+ODD_SPACE = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 
 class WordTable:
-    """Ids of the distinct white-space separated words met so far, as the library gives them."""
+    """Ids of the distinct words met so far, as the library gives them; words are cut at ASCII white space."""
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,9 +74,12 @@ class WordTable:
 
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype(f"<u{width}")
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # A special string could reach across white space, and other white space may be cut at too:
+        # such texts go to the library whole.
+        specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = "|".join([f"[{ODD_SPACE}]", *specials])
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # Words are encoded many at a time with a control character as a word between them; its
         # one id can come from nothing else.
         alone = self.library.encode(BETWEEN, add_special_tokens=False).ids
@@ -100,22 +105,55 @@ class WordTable:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # A special string could reach across white space, so such texts go to the library whole.
-        odd = [any(s in t for s in self.specials) or any(c in t for c in ODD_SPACE) for t in texts]
-        cut = [[] if o else t.split() for o, t in zip(odd, texts, strict=True)]
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self.ids) > WORD_ENTRIES:  # words of the last but one filling that were met again stay
             self.older, self.ids = self.ids, {}
-        new = set().union(*cut).difference(self.ids)
-        if self.older:
-            again = new.intersection(self.older)
-            self.ids.update((w, self.older[w]) for w in again)
-            new -= again
-        new = list(new)
+        new = []
+        for w in words:
+            if w not in self.ids:
+                if w in self.older:
+                    self.ids[w] = self.older[w]
+                else:
+                    new.append(w)
         if new:
-            self.ids.update(zip(new, self.words(new), strict=True))
-        got = self.ids.__getitem__
-        return [self.whole([t])[0] if o else b"".join(map(got, c)) for o, t, c in zip(odd, texts, cut, strict=True)]
+            self.ids.update(zip(new, self.words([w.decode() for w in new]), strict=True))
+        return list(map(self.ids.__getitem__, words))
+
+    def encode(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The raw ids of each text, null as empty, with ``end`` behind."""
+        # A slice is copied first, so that its values begin where the buffers do.
+        own = pc.fill_null(pa.concat_arrays([texts, texts.slice(0, 0)]).cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(own, self.odd).to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", own))
+        flat = lists.flatten()
+        full = pc.not_equal(flat, "")
+        row, _ = runs(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        count = np.bincount(row[full.to_numpy(zero_copy_only=False)], minlength=len(own))
+        table = flat.filter(full).dictionary_encode()
+        distinct = raw_values(table.dictionary)
+        whole = self.whole([own[int(i)].as_py() for i in np.flatnonzero(odd)])
+        # Parts of all texts in order: their words, or the whole text, and the end.
+        parts = [*self.known(distinct), end, *whole]
+        count = np.where(odd, 1, count)
+        line, offset = runs(count + 1)
+        part = np.full(len(line), len(distinct), np.int64)
+        inner = offset < count[line]
+        of_odd = odd[line]
+        part[inner & ~of_odd] = table.indices.to_numpy()
+        part[inner & of_odd] = len(distinct) + 1 + np.arange(len(whole))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        data = np.frombuffer(b"".join(parts), self.kind)
+        out = gather_ragged(data, (np.cumsum(size) - size)[part], size[part])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(line, weights=size[part], minlength=len(own)).astype(np.int64) * self.kind.itemsize)])
+        return pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def raw_values(words: pa.Array) -> list[bytes]:
+    """The bytes of each value of a large string array."""
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset).tolist()
+    raw = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @cache
@@ -302,13 +340,13 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, key: s
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_table(tokenizer_path, width), np.array([end_id], f"<u{width}").tobytes()
-        for batch in text_slices(batches, text):
-            ids = pa.array([x + end for x in words.encode(texts_of(batch, text))], pa.binary())
+        for batch in text_slices(batches, text, SLICE):
+            ids = words.encode(batch.column(text), end)
             if edges is None:
                 yield pa.RecordBatch.from_arrays([batch.column(key), ids], [key, "ids"])
             else:
                 keys = batch.column(key).cast(pa.int64())
-                part = np.searchsorted(edges, pa.compute.fill_null(keys, -(1 << 63)).to_numpy(zero_copy_only=False), "right")
+                part = np.searchsorted(edges, pc.fill_null(keys, -(1 << 63)).to_numpy(zero_copy_only=False), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), keys, ids], ["part", "key", "ids"])
 
     return map_texts(docs, kernel, f"`{key}` {kind}, ids binary" if edges is None else "part int, key long, ids binary", key, text)
