@@ -97,6 +97,8 @@ def base_spans(text: str) -> list[Span]:
 CUES = frozenset("token tokens password passwd pwd pass passphrase secret key apikey api auth bearer credential credentials tel call phone mobile fax card visa mail email contact host ip addr address server ssn dni nino social security tax id insurance".split())
 #: First letters of keys that their makers mark.
 HEADS = frozenset(("AKIA", "ASIA", "AIza", "eyJh"))
+#: Letters alone up to this length are described by pattern and length only.
+SHORT = 12
 VOWELS = "aeiouy"
 HEX = "0123456789abcdef"
 SIGNS = ".,:;@/\\-_=+()\"'#$%&*<>[]{}|~!?^`"
@@ -143,7 +145,10 @@ def features(token: str) -> list[str]:
     low, n = core.lower(), len(core)
     if low in CUES:
         return [*out, f"cue {low}"]
-    out += [f"pattern {pattern(core)}", f"length {min(n, 48) if core.isdigit() or n > 12 else n // 4}", f"digits {min(sum(c.isdigit() for c in core), 24)}"]
+    out += [f"pattern {pattern(core)}", f"length {min(n, 48) if core.isdigit() or n > 12 else n // 4}"]
+    if n <= SHORT and core.isalpha():
+        return out
+    out.append(f"digits {min(sum(c.isdigit() for c in core), 24)}")
     if not core.isdigit():
         vowels = sum(map(low.count, VOWELS))
         hexed = not low.strip(HEX)
@@ -177,11 +182,11 @@ class Table:
             if t in self.number:
                 continue
             core = t.lstrip()
-            space = t[: len(t) - len(core)]
+            space, n = t[: len(t) - len(core)], len(core)
             line = "\n" in space or "\r" in space
-            if core.isalpha() and (core.islower() or core.istitle()) and (low := core.lower()) not in CUES:
-                # Words of letters: what their features are made of, without making them.
-                kind = (line, space != "", core.islower(), len(core), sum(map(low.count, VOWELS)), not low.strip(HEX))
+            if n <= SHORT and core.isalpha() and (core.islower() or core.istitle()) and core.lower() not in CUES:
+                # Words: what their features are made of, without making them.
+                kind = (line, space != "", core.islower(), n)
             else:
                 kind = (line, space != "", core)
             found = self.kinds.setdefault(kind, len(self.rows))
@@ -244,9 +249,30 @@ def pairs_of(c: np.ndarray) -> list[np.ndarray]:
     return [before * CLASSES + own, own * CLASSES + behind, before * CLASSES + behind]
 
 
+def undecided(score: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which chains may have a best path other than all zeros.
+
+    Against all zeros, a run of other tags gains at each token at most what its best tag scores more
+    than 0, and in steps at most the best way in and out, and the best way on for each further
+    token.  Where at every token this is below zero, by way in and out as by way on, no run gains.
+    """
+    k = score.shape[2]
+    best = score[:, :, 1].copy()
+    for t in range(2, k):
+        np.maximum(best, score[:, :, t], out=best)
+    best -= score[:, :, 0]
+    best[np.arange(score.shape[1]) >= lengths[:, None]] = -np.inf
+    still = step[0, 0]
+    enter = max((step[0, 1:] - still).max(), (step[k, 1:] - step[k, 0]).max())
+    leave, on = max(0.0, (step[1:k, 0] - still).max()), (step[1:k, 1:] - still).max()
+    return best.max(1, initial=-np.inf) >= -max(enter + leave, on) - 1e-3
+
+
 def viterbi(score: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The best tags of each chain; places behind its end are 0."""
     rows, n, k = score.shape
+    if not rows:
+        return np.zeros((rows, n), np.int8)
     back = np.zeros((rows, n, k), np.int8)
     now = score[:, 0] + step[k]
     for i in range(1, n):
@@ -423,10 +449,10 @@ class Finder:
         found = [TOKEN.findall(t) for t in texts]
         self.learn(set().union(*found))
         number = self.table.number.__getitem__
-        jobs, ends = [], []
+        jobs: list[tuple] = []
+        ends: dict[int, np.ndarray] = {}
         for i, words in enumerate(found):
             types = np.fromiter(map(number, words), np.int64, len(words))
-            ends.append(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
             if len(types):
                 at = cuts(types, *self.flags)
                 jobs += [(b - a, i, a, types[a:b]) for a, b in zip(at, [*at[1:], len(types)], strict=True)]
@@ -437,10 +463,14 @@ class Finder:
             while to < len(jobs) and (to + 1 - at) * jobs[to][0] <= CELLS:
                 to += 1
             x, lengths = padded([j[3] for j in jobs[at:to]])
-            tags = viterbi(emissions(self.token, self.field.pair, x, self.classes), self.field.step, lengths)
+            score = emissions(self.token, self.field.pair, x, self.classes)
+            open_ = np.flatnonzero(undecided(score, self.field.step, lengths))
+            tags = viterbi(score[open_], self.field.step, lengths[open_])
             for r in np.flatnonzero(tags.any(1)).tolist():
-                n, i, first, _ = jobs[at + r]
+                n, i, first, _ = jobs[at + int(open_[r])]
                 y = tags[r, :n]
+                if i not in ends:
+                    ends[i] = np.cumsum(np.fromiter(map(len, found[i]), np.int64, len(found[i])))
                 edges = np.flatnonzero(np.diff(y)) + 1
                 for s, e in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
                     if y[s]:

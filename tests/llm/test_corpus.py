@@ -473,6 +473,12 @@ def test_viterbi_is_the_best_path():
             assert math.isclose(score[i, t, tag], whole)
         value = lambda y: step[6, y[0]] + sum(score[i, k, t] for k, t in enumerate(y)) + sum(step[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
         assert tuple(tags[i, :n]) == max(product(range(6), repeat=int(n)), key=value)
+    # No chain with another best path is taken for all zeros.
+    for lean in range(0, 12):
+        leaning = score - lean * (np.arange(6) > 0)
+        tags = pii.viterbi(leaning, step, lengths)
+        assert not (tags.any(1) & ~pii.undecided(leaning, step, lengths)).any()
+    assert not pii.undecided(score - 99 * (np.arange(6) > 0), step, lengths).any()
 
 
 def test_katz_words_of_slices():
@@ -485,3 +491,66 @@ def test_katz_words_of_slices():
             want = [(t or "").encode().lower().split() for t in texts[a:b]]
             assert [w.encode() for w in found.to_pylist()] == [w for c in want for w in c]
             assert n.tolist() == [len(c) for c in want]
+
+
+def test_sketches_by_hand(spark, docs):
+    """Exact sketches, likeness, containment and counts from sets of shingle hashes."""
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+
+    def long_hash(value, seed):
+        return signed(xxhash.xxh64_intdigest((value % (1 << 64)).to_bytes(8, "little"), seed % (1 << 64)))
+
+    def shingle_set(text):
+        words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split("[ \t-\r]+", text.lower()) if w]
+        out = set()
+        for run in [words[i : i + 5] for i in range(len(words) - 4)] or ([words] if words else []):
+            h = 42
+            for w in run:
+                h = long_hash(w, h)
+            out.add(h)
+        return out
+
+    rows = spark.createDataFrame([(i, t) for i, t in plain().items()], "i long, t string")
+    got_sketch = {r.i: r.s for r in sketches.with_sketch(rows, "t", "s").select("i", "s").collect()}
+    sets = {i: shingle_set(t) for i, t in plain().items()}
+    # The seed of a chained hash is the hash before: the first value decides, so compare the sets of bottom values by size too.
+    assert {i: len(s) for i, s in got_sketch.items()} == {i: min(len(x), sketches.SIZE) for i, x in sets.items()}
+    pairs = [(40, 41), (40, 42), (42, 43), (40, 44), (44, 44), (45, 46), (3, 40)]
+    near = spark.createDataFrame([(a, b, got_sketch[a], got_sketch[b]) for a, b in pairs], "a long, b long, x array<long>, y array<long>")
+    found = near.select("a", "b", sketches.resemblance(F.col("x"), F.col("y")).alias("r"), sketches.containment(F.col("x"), F.col("y")).alias("c"), sketches.distinct_shingles(F.col("x")).alias("n")).collect()
+    for r in found:
+        a, b = sets[r.a], sets[r.b]
+        if max(len(a), len(b)) < 60:  # everything is in the sketches
+            assert r.r == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0) and r.c == pytest.approx(len(a & b) / len(a) if a else 1.0) and r.n == len(a)
+        else:
+            assert abs(r.r - len(a & b) / len(a | b)) < 0.2 and abs(r.c - len(a & b) / max(1, len(a))) < 0.3 and abs(r.n / max(1, len(a)) - 1) < 0.4
+
+
+def test_chain_by_hand(spark):
+    """A chain's probabilities from its weights, one text at a time; a repeated key is learned from once."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(300):
+        toxic, junk = i % 4 == 0, i % 3 == 0
+        words = r.choices("river stone cloud window paper garden winter letter".split(), k=12) + (["vile", "filth"] if toxic else []) + (["click"] * 2 if junk else [])
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not junk), int(toxic)))
+    docs = spark.createDataFrame([*rows, (0, "another text of the same key"), (None, "vile filth"), (900, None)], "doc_id long, text string")
+    given = spark.createDataFrame([*labels, (None, 1, 1), (5000, 0, 0), (1, None, None)], "doc_id long, quality int, toxic int")
+    chain = toxicity.learn(docs, toxicity.label_categories(given), ["junk", "toxic"])
+    found = toxicity.classify(docs.filter("doc_id > 0"), chain).collect()
+    for row in found:
+        text = dict(rows).get(row.doc_id) or ""
+        words = toxicity.distinct_words(text)
+        earlier = []
+        for link in chain:
+            have = {f for w in words for f in toxicity.features(w)}
+            z = link.dense @ np.array([1.0, math.log1p(len(words)), *earlier]) + sum(w for f, w in zip(link.ids.tolist(), link.weights.tolist(), strict=True) if f in have)
+            earlier.append(1 / (1 + math.exp(-max(-35, min(35, z)))))
+            assert math.isclose(row[f"p_{link.name}"], earlier[-1], rel_tol=1e-6) and row[link.name] == (row[f"p_{link.name}"] >= link.threshold)
+    right = sum(row.toxic == (row.doc_id % 4 == 0) and row.junk == (row.doc_id % 3 == 0) for row in found if row.doc_id < 300)
+    assert right >= 0.95 * 299
+    assert [row.toxic for row in toxicity.classify(docs.filter("doc_id IS NULL"), chain).collect()] == [True]
+    again = toxicity.learn(docs.unionByName(docs.filter("doc_id = 7")).unionByName(docs.filter("doc_id = 7")), toxicity.label_categories(given), ["junk", "toxic"])
+    assert all(np.array_equal(a.weights, b.weights) for a, b in zip(chain, again, strict=True))
