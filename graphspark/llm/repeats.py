@@ -109,7 +109,7 @@ def truncated_order(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[n
     label = np.zeros(len(starts), np.int64)
     for depth in range(0, least, 8):
         at = starts[live] + min(depth, least - 8)
-        word = data[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+        word = data[at[:, None] + np.arange(8)].view(">u8").reshape(-1).astype(np.uint64)
         order = np.lexsort((word, label))
         word, label, live = word[order], label[order], live[order]
         fresh = np.concatenate([[True], (word[1:] != word[:-1]) | (label[1:] != label[:-1])])

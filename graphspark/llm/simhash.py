@@ -155,7 +155,7 @@ def make_plan(fps: DataFrame, most: int) -> Plan:
             for at in range(0, len(x), 1 << 20):
                 total += x[at : at + (1 << 20)].T @ x[at : at + (1 << 20)]
         row, col = np.indices(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(row.ravel()), pa.array(col.ravel()), pa.array(total.ravel())], ["i", "j", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(row.reshape(-1)), pa.array(col.reshape(-1)), pa.array(total.reshape(-1))], ["i", "j", "n"])
 
     sums = np.zeros((BITS + 1, BITS + 1))
     for r in fps.select("fp").mapInArrow(moments, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():

@@ -9,10 +9,12 @@ The models are fitted on the driver on at most ``most_labelled`` labelled rows,
 smallest hash of their key; everything else runs over all rows.  A text is described by its
 distinct words and their beginnings, hashed, so that forms of one stem share evidence.
 
-Defined results: null and empty texts have no words and get the models' base rates; repeated
-documents are scored each; labels of unknown documents and null labels are not used; a category
-without both classes among the labels gets its base rate; other columns are ignored; an empty
-table gives an empty table.
+Defined results: null and empty texts have no words and get the models' base rates; rows without
+a key and rows that share one are scored each, by their own texts; of rows that share a labelled
+key the text with the smallest hash is learned from; labels of unknown documents, without a key
+or null are not used, and of several labels of one key the greatest counts; a category without
+both classes among the labels gets its base rate; ties of features are kept in order of their
+hashes; other columns, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -205,6 +207,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], key: str =
     # At most most_labelled short rows: a proven bound for the broadcast.
     joined = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(wanted), key)
     names = [f"_y{i}" for i in range(len(categories))]
+    # Of rows that repeat a key one is learned from, so the driver gets at most most_labelled rows.
+    joined = joined.groupBy(key, *names).agg(F.min_by("_text", F.struct(F.xxhash64("_text"), F.col("_text"))).alias("_text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordFeatures()
