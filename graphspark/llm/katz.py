@@ -143,6 +143,13 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), np.bincount(text[held], minlength=len(texts))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of the bytes of each word, read from the array's own buffer."""
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset).tolist()
+    raw = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
+    return np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)), np.uint64, len(words))
+
+
 def blocks_of(docs: DataFrame, key: str, text: str, held: str, most: int) -> DataFrame:
     """Blocks of documents: word numbers in order of frequency, the words' hashes and training counts."""
     kind = dict(docs.dtypes)[key]
@@ -163,7 +170,7 @@ def blocks_of(docs: DataFrame, key: str, text: str, held: str, most: int) -> Dat
             tokens = new[tokens]
             flag = pa.concat_arrays(flags)
             own = np.bincount(tokens[~flag.to_numpy(zero_copy_only=False)[row]], minlength=len(order))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocab.dictionary.to_pylist()), np.uint64, len(order))[order]
+            hashes = word_hashes(vocab.dictionary)[order]
             part = TaskContext.get().partitionId() if TaskContext.get() else 0
             one = lambda x: pa.array([x], pa.binary())
             as_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
