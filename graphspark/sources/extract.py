@@ -6,18 +6,20 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import content_id
 from ..operators.graph import first_per_key
 
 LINK = re.compile(r"(?<!!)\[[^\]]*\]\(\s*<?([^)\s>]+)[^)]*\)")
-HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
-FENCE = re.compile(r"\s*(`{3,}|~{3,})")
+#: A single sign at the end is dropped.
+HEADING = re.compile(r"(#{1,6}) (.*?)\s*#?\s*$")
+FENCE = re.compile(r"\s*(`{3}|~{3})")
 
 
 def markdown_facts(text: str) -> Iterator[tuple[str, str, int]]:
-    """(fact, value, line): sections and links; fenced lines are passed over until the same mark closes them."""
+    """(fact, value, line): sections with their level and links; fenced lines are passed over until the same mark closes them."""
     open_mark = ""
     for number, line in enumerate(text.split("\n"), 1):
         m = FENCE.match(line)
@@ -30,8 +32,8 @@ def markdown_facts(text: str) -> Iterator[tuple[str, str, int]]:
             continue
         if open_mark:
             continue
-        if h := HEADING.match(line):
-            yield "section", h[2], number
+        if (h := HEADING.match(line.strip())) and h[2]:
+            yield f"section {len(h[1])}", h[2], number
         for m in LINK.finditer(line):
             yield "link", m[1], number
 
@@ -137,6 +139,68 @@ def markdown(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(kernel, "path string, fact string, value string, line int")
 
 
+def markdown_graph(facts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from facts and files (path): documents that files define, their sections, and the documents they cite."""
+    document = content_id("document", F.col("path"))
+    line = F.col("line").cast("string")
+    section, ref = content_id("section", F.col("path"), line), content_id("document-ref", F.col("value"))
+    own = files.select("path").distinct().withColumn("line", F.lit(1))
+    sections = facts.filter(F.col("fact").startswith("section"))
+    links = facts.filter("fact = 'link' AND value <> ''")
+    none = F.lit(None).cast("string")
+    nodes = own.select(document.alias("id"), F.lit("document").alias("kind"), F.col("path").alias("name"), "path", "line")
+    nodes = nodes.unionByName(sections.select(section.alias("id"), F.lit("section").alias("kind"), F.col("value").alias("name"), "path", "line"))
+    nodes = nodes.unionByName(links.select(ref.alias("id"), F.lit("document").alias("kind"), F.col("value").alias("name"), none.alias("path"), F.lit(None).cast("int").alias("line")).distinct())
+    edges = own.select(F.lit("defines").alias("kind"), F.concat(F.lit("file://"), "path").alias("src"), document.alias("dst"), "path", "line")
+    edges = edges.unionByName(sections.select(F.lit("contains").alias("kind"), document.alias("src"), section.alias("dst"), "path", "line"))
+    cited = links.select(F.lit("cites").alias("kind"), document.alias("src"), ref.alias("dst"), "path", "line")
+    return nodes, edges.unionByName(cited.groupBy("kind", "src", "dst", "path").agg(F.min("line").alias("line")))
+
+
+def sql_graph(facts: DataFrame, scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of SQL facts: schemas, tables, views, columns and indexes, and what refers to what.
+
+    A schema is the folder of its files, or ``scope`` of the path; names are resolved inside it.  The
+    first statement that creates an object gives its place; columns of later ones are added.
+    """
+    folder = F.coalesce(F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
+    f = facts.withColumn("scope", folder if scope is None else scope)
+    order = F.struct("path", "place")
+    schema = content_id("schema", F.col("scope"))
+    table = lambda c, k: content_id(k, F.col("scope"), F.col(c))
+    objects = f.filter(F.col("fact").isin("table", "view")).groupBy("scope", F.col("object").alias("full")).agg(F.min_by(F.struct("fact", "path", "place"), order).alias("o")).select("scope", "full", "o.*")
+    objects = objects.withColumn("id", F.when(F.col("fact") == "view", table("full", "view")).otherwise(table("full", "table")))
+    base = lambda c: F.element_at(F.split(c, r"\."), -1)
+    by_base = objects.groupBy("scope", base(F.col("full")).alias("base")).agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("only"), F.min("id").alias("only_id")).filter("n = 1").drop("n")
+
+    def found(rows: DataFrame, column: str, name: str) -> DataFrame:
+        """Adds the id of the object that ``column`` names, by its full name or else its only like-named one."""
+        exact = objects.select("scope", F.col("full").alias(column), F.col("id").alias("_exact"))
+        near = rows.join(exact, ["scope", column], "left").withColumn("base", base(F.col(column))).join(by_base, ["scope", "base"], "left")
+        one = F.when(~(F.col(column).contains(".") & F.col("only").contains(".")), F.col("only_id"))
+        return near.withColumn(name, F.coalesce("_exact", one)).drop("_exact", "only", "only_id", "base")
+
+    column_id = lambda owner, c: content_id("column", F.col(owner), F.col(c))
+    columns = f.filter("fact = 'column'").groupBy("scope", "object", "col").agg(F.min_by(F.struct("path", "place"), order).alias("o")).select("scope", F.col("object").alias("full"), "col", "o.*")
+    columns = columns.join(objects.select("scope", "full", F.col("id").alias("owner")), ["scope", "full"])
+    indexes = found(f.filter(F.col("fact").isin("index", "unique index")), "target", "owner").withColumn("id", content_id("index", F.col("scope"), F.col("object"), F.col("target")))
+    files = f.select("scope", "path").distinct()
+    node = lambda df, i, kind, name, path: df.select(i.alias("id"), kind.alias("kind"), name.alias("name"), path.alias("path"))
+    nodes = node(files.select("scope").distinct(), schema, F.lit("schema"), F.col("scope"), F.col("scope"))
+    nodes = nodes.unionByName(node(objects, F.col("id"), F.col("fact"), F.col("full"), F.col("path"))).unionByName(node(columns, column_id("owner", "col"), F.lit("column"), F.col("col"), F.col("path")))
+    nodes = nodes.unionByName(node(indexes.dropDuplicates(["id"]), F.col("id"), F.lit("index"), F.col("object"), F.col("path")))
+    edge = lambda df, kind, src, dst, how="": df.select(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"), F.lit(how).alias("how") if isinstance(how, str) else how.alias("how"))
+    edges = edge(files, "defines", F.concat(F.lit("file://"), "path"), schema).unionByName(edge(objects, "contains", schema, F.col("id"))).unionByName(edge(columns, "contains", F.col("owner"), column_id("owner", "col")))
+    edges = edges.unionByName(edge(indexes, "contains", F.coalesce("owner", schema), F.col("id")).distinct())
+    foreign_keys = found(found(f.filter("fact = 'foreign'"), "object", "ours"), "target", "theirs").filter("ours IS NOT NULL AND theirs IS NOT NULL")
+    edges = edges.unionByName(edge(foreign_keys, "references", F.col("ours"), F.col("theirs"), "foreign_key").distinct())
+    named = columns.select("owner", "col")
+    both = foreign_keys.join(named.withColumnRenamed("owner", "ours"), ["ours", "col"], "left_semi").join(named.select(F.col("owner").alias("theirs"), F.col("col").alias("target_col")), ["theirs", "target_col"], "left_semi")
+    edges = edges.unionByName(edge(both, "references", column_id("ours", "col"), column_id("theirs", "target_col"), "foreign_key").distinct())
+    reads = found(found(f.filter(F.col("fact").isin("from", "join")), "object", "ours"), "target", "theirs").filter("ours IS NOT NULL AND theirs IS NOT NULL")
+    return nodes, edges.unionByName(edge(reads, "references", F.col("ours"), F.col("theirs"), F.col("fact")).distinct())
+
+
 def sql(files: DataFrame) -> DataFrame:
     """(path, place, fact, object, col, target, target_col) of files (path, text)."""
 
