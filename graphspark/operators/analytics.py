@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,24 +77,31 @@ def community_hub_threshold(g: Graph, floor: int = 50) -> DataFrame:
     return nearest_rank(n, "degree", 0.99, "p").select(F.greatest(F.lit(floor).cast("bigint"), F.coalesce("p", F.lit(0))).alias("threshold"))
 
 
-# Node kinds of the workflow views.
+# Node kinds of the workflow views, how many of the most central nodes join them, and which show no edges.
 VIEW_KINDS = {
-    "tech": ("repo", "package", "module", "file", *SYMBOL_KINDS),
-    "understand": ("package", "module", "domain", "flow", "concept", "class", "interface"),
-    "learn": ("tour", "step", "concept", "document"),
+    "tech": ("package", "module", "schema", "table", "view"),
+    "understand": ("domain", "flow", "step", "concept"),
+    "learn": ("tour",),
     "docs": ("document", "section", "concept"),
-    "schema": ("schema", "table", "view", "column", "index", "type"),
+    "pdf": ("document", "section", "concept"),
+    "schema": ("schema", "table", "view", "column", "index"),
 }
+VIEW_CENTRAL = {"understand": 20, "learn": 30}
+VIEW_WITHOUT_EDGES = ("tech",)
 
 
-def workflow_view(g: Graph, view: str, limit: int = 0) -> Graph:
-    """Nodes of a view's kinds (the most central ``limit``, if given) and the edges among them."""
+def workflow_view(g: Graph, view: str) -> Graph:
+    """Nodes of a view's kinds, with some of the most central ones, and the edges among them."""
     from .graph import induced
 
-    own = g.nodes.filter(F.col("kind").isin(*VIEW_KINDS[view]))
-    if limit:
-        own = central_nodes(Graph(own, g.edges), limit)
-    return induced(g, own.select("id"))
+    chosen = F.col("kind").isin(*VIEW_KINDS[view])
+    if view == "pdf" and "meta" in g.nodes.columns:
+        chosen = chosen | ((F.col("kind") == "file") & (F.coalesce(F.col("meta")["language"], F.lit("")) == "pdf"))
+    if view in VIEW_CENTRAL:  # a fixed few ids
+        chosen = chosen | F.col("id").isin(*[r.id for r in central_nodes(g, VIEW_CENTRAL[view]).collect()])
+    nodes = g.nodes.filter(chosen)
+    found = induced(g, nodes.select("id"))
+    return Graph(nodes, found.edges.limit(0) if view in VIEW_WITHOUT_EDGES else found.edges)
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -109,6 +117,13 @@ def same_scan(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.exceptAll(y).union(y.exceptAll(x)).agg((F.count(F.lit(1)) == 0).alias("same"))
 
 
+def same_scans(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """(by, same) for several scans at once: whether paths and hashes agree; repeated rows count."""
+    each = lambda df, n: df.groupBy(by, "path", "hash").agg(F.sum(F.lit(n)).alias("n"))
+    left = each(a, 1).unionByName(each(b, -1)).groupBy(by, "path", "hash").agg(F.sum("n").alias("n"))
+    return left.groupBy(by).agg(F.bool_and(F.col("n") == 0).alias("same"))
+
+
 def fresh_enrichment(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Ids of rows (id, hashes: map of path to hash) of which every source still has its hash."""
     each = rows.select("id", F.explode("hashes").alias("path", "old"))
@@ -168,28 +183,85 @@ def _spread(pairs: DataFrame, a: str, b: str, step) -> DataFrame:
         low = after.select("id", F.col("new").alias("low"))
 
 
+def concrete_cycles(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, cycle): of each strong component one way round, found depth first from its smallest id, smaller ids first.
+
+    ``pairs``: distinct src, dst; ``components``: id, component.  A component is one group, as its order of
+    search is one; a node without a way back to the start is left once and for all, so a search is linear
+    where no dead end is met twice.
+    """
+    member = components.select(F.col("id").alias("src"), "component")
+    other = components.select(F.col("id").alias("dst"), F.col("component").alias("_c"))
+    inside = pairs.join(member, "src").join(other, "dst").filter("component = _c").select("component", "src", "dst").distinct()
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        ways: dict[str, list[str]] = {}
+        for a, b in sorted(zip(pdf["src"], pdf["dst"], strict=True)):
+            ways.setdefault(a, []).append(b)
+        start = min(ways)
+        path, on, left = [start], {start}, [iter(ways[start])]
+        while left:
+            step = next(left[-1], None)
+            if step is None:
+                left.pop()
+                on.discard(path.pop())
+            elif step == start:
+                return pd.DataFrame({"component": [pdf["component"].iloc[0]], "cycle": [" -> ".join([*path, start])]})
+            elif step not in on:
+                path.append(step)
+                on.add(step)
+                left.append(iter(ways.get(step, ())))
+        return pd.DataFrame({"component": [], "cycle": []})
+
+    return inside.groupBy("component").applyInPandas(kernel, "component string, cycle string")
+
+
+def limited_neighbours(near: DataFrame, most: int) -> DataFrame:
+    """Of an explanation's rows (direction, kind, id) the first ``most``: what goes out first, then what comes in."""
+    return near.orderBy(F.when(F.col("direction") == "out", 0).otherwise(1), "kind", "id").limit(most)
+
+
+def contributing_files(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths of files that some node stands in, or that the evidence of a node or edge names, with or without a line."""
+    proof = lambda df: df.select(F.coalesce(F.col("meta")["evidence"], F.lit("")).alias("evidence")).filter("evidence <> ''")
+    told = proof(nodes).union(proof(edges)).distinct()
+    # Every prefix of evidence that ends before a colon may be a path.
+    parts = F.split("evidence", ":")
+    named = told.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ":"))).alias("path"))
+    return files.select("path").distinct().join(nodes.select("path").union(named).distinct(), "path", "left_semi")
+
+
 def import_pairs(g: Graph) -> DataFrame:
     """Distinct resolved import edges among files, packages and modules."""
     ids = g.nodes.filter(F.col("kind").isin("file", "package", "module")).select("id")
-    own = g.edges.filter("kind = 'imports'")
-    if "meta" in g.edges.columns:
-        own = own.filter(F.coalesce(F.col("meta")["resolved"], F.lit("")) != "false")
+    own = resolved(g.edges).filter("kind = 'imports'")
     return own.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").distinct()
 
 
+def resolved(df: DataFrame) -> DataFrame:
+    """Rows that are not marked as unresolved."""
+    return df.filter(F.coalesce(F.col("meta")["resolved"], F.lit("")) != "false") if "meta" in df.columns else df
+
+
 def call_flows(g: Graph, length: int = 6, flows: int = 10) -> DataFrame:
     """Representative call chains from entry points, then roots, then callers of many.
 
-    From each seed the chain goes to the callee that itself calls most and is not in it yet.
-    Seeds are the ``flows`` first in order; their chains grow together, one join a step.
+    Only resolved calls between resolved symbols that have a path count.  From each seed the
+    chain goes to the callee that itself calls most and is not in it yet.  The first ``flows``
+    seeds that call another symbol make a flow each; their chains grow together, one join a step.
     """
-    calls = g.edges.filter("kind = 'calls'").select("src", "dst").distinct()
-    out = calls.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
+    symbols = resolved(g.nodes).filter(F.col("kind").isin(*SYMBOL_KINDS) & (F.coalesce("path", F.lit("")) != ""))
+    ids = symbols.select("id")
+    calls = resolved(g.edges).filter("kind = 'calls'").select("src", "dst").distinct()
+    calls = calls.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    out = calls.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"), F.bool_or(F.col("src") != F.col("dst")).alias("others"))
     into = calls.select(F.col("dst").alias("id")).distinct().withColumn("called", F.lit(True))
-    entry = entry_points(g).select("id").distinct().withColumn("entry", F.lit(True))
-    seeds = out.join(into, "id", "left").join(entry, "id", "left")
+    main = F.col("name") == "main"
+    if "meta" in symbols.columns:
+        main = main | (F.coalesce(F.col("meta")["entrypoint"], F.lit("")) == "true")
+    seeds = out.join(into, "id", "left").join(symbols.select("id", main.alias("entry")), "id")
     rank = F.when(F.col("entry"), 0).when(F.col("called").isNull(), 1).otherwise(2)
-    chains = seeds.orderBy(rank, F.desc("out"), "id").limit(flows).select(F.array("id").alias("chain"), rank.alias("rank"), "out", F.col("id").alias("seed"))
+    chains = seeds.filter("others").orderBy(rank, F.desc("out"), "id").limit(flows).select(F.array("id").alias("chain"), F.col("id").alias("seed"))
     weighed = calls.join(out.withColumnRenamed("id", "dst"), "dst", "left").withColumn("w", F.coalesce("out", F.lit(0))).select("src", "dst", "w")
     for _ in range(length - 1):
         last = chains.withColumn("src", F.element_at("chain", -1))
@@ -197,7 +269,7 @@ def call_flows(g: Graph, length: int = 6, flows: int = 10) -> DataFrame:
         ways = last.join(weighed, "src").filter(~F.array_contains("chain", F.col("dst")))
         best = ways.groupBy("seed").agg(F.min(F.struct(-F.col("w"), F.col("dst").alias("dst"))).alias("m")).select("seed", F.col("m.dst").alias("dst"))
         chains = chains.join(best, "seed", "left").withColumn("chain", F.when(F.col("dst").isNull(), F.col("chain")).otherwise(F.concat("chain", F.array("dst")))).drop("dst")
-    return chains.filter(F.size("chain") > 1).select("seed", F.array_join("chain", " -> ").alias("flow"))
+    return chains.select("seed", F.array_join("chain", " -> ").alias("flow"))
 
 
 def impact_edges(g: Graph) -> DataFrame:

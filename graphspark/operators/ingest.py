@@ -23,11 +23,13 @@ def violations(nodes: DataFrame, edges: DataFrame, known: DataFrame) -> DataFram
             .union(bad(df, (level == "inferred") & lacks("rationale"), "inferred without rationale"))
         )
 
+    lacks = lambda df, *columns: df.filter(" OR ".join(f"coalesce({c}, '') = ''" for c in columns)).select("id", F.lit("missing field").alias("problem"))
+    bare = lacks(nodes, "id", "kind", "name").union(lacks(edges, "kind", "src", "dst"))
     twice = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("repeated node").alias("problem"))
     ids = known.select("id").union(nodes.select("id")).distinct()
     ends = edges.select("id", F.explode(F.array("src", "dst")).alias("end"))
     loose = ends.join(ids.withColumnRenamed("id", "end"), "end", "left_anti").select("id", F.lit("unknown end").alias("problem")).distinct()
-    return provenance(nodes).union(provenance(edges)).union(twice).union(loose)
+    return provenance(nodes).union(provenance(edges)).union(bare).union(twice).union(loose)
 
 
 def apply(g: Graph, nodes: DataFrame, edges: DataFrame, source: str) -> Graph:

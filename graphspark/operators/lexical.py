@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -89,13 +90,23 @@ def score(index: DataFrame, terms: list[str], words: list[str], stats: dict) ->
     return scored.withColumn("score", total).drop("_plain", "_tier")
 
 
-def search(spark: SparkSession, nodes: DataFrame, question: str, limit: int = 25) -> DataFrame:
-    """The best nodes: score down, shorter names first, then id.  Scores are in thousandths, 1 at least."""
+def touched(index: DataFrame, terms: list[str]) -> DataFrame:
+    """Nodes that have some term, whole or as a part, in some field; no other has a score."""
+    anywhere = F.concat_ws(" ", *[F.array_join(f"{f}_words", " ") for f in FIELDS])
+    return index.filter(reduce(lambda a, b: a | b, [anywhere.contains(t) for t in terms]))
+
+
+def search(spark: SparkSession, nodes: DataFrame, question: str, limit: int = 25, step: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The best nodes: score down, shorter names first, then id.  Scores are in thousandths, 1 at least.
+
+    ``step`` writes the index and reads it back, so that words are cut once for statistics and scores.
+    """
     terms, words = terms_of(spark, question)
     index = build_index(nodes)
     if not terms:
         return index.limit(0).select("id", "kind", "name", F.lit(0).cast("bigint").alias("score"))
-    ranked = score(index, terms, words, statistics(index, terms)).filter("score > 0")
+    index = step(index) if step else index
+    ranked = score(touched(index, terms), terms, words, statistics(index, terms)).filter("score > 0")
     return ranked.orderBy(F.desc("score"), F.length("name"), "id").limit(limit).select("id", "kind", "name", F.greatest(F.lit(1), F.round(F.col("score") * 1000).cast("bigint")).alias("score"))
 
 

@@ -13,11 +13,12 @@ from .graph import Graph
 Step = Callable[[DataFrame], DataFrame]
 
 
-def pairs_of(g: Graph, direction: str = "both", kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """Distinct (a, b) steps along edges: out, in or both ways."""
+def pairs_of(g: Graph, direction: str = "both", kinds: tuple[str, ...] | None = None, distinct: bool = True) -> DataFrame:
+    """(a, b) steps along edges: out, in or both ways; each once, or (for walks, which do not mind) as often as edges stand."""
     own = g.edges if kinds is None else g.edges.filter(F.col("kind").isin(*kinds))
     out, into = own.select(F.col("src").alias("a"), F.col("dst").alias("b")), own.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return (out if direction == "out" else into if direction == "in" else out.union(into)).distinct()
+    steps = out if direction == "out" else into if direction == "in" else out.union(into)
+    return steps.distinct() if distinct else steps
 
 
 def distances(pairs: DataFrame, seeds: DataFrame, depth: int, step: Step | None = None) -> DataFrame:
@@ -28,6 +29,7 @@ def distances(pairs: DataFrame, seeds: DataFrame, depth: int, step: Step | None
     """
     known = seeds.select("id").distinct().withColumn("distance", F.lit(0))
     front = known.select("id")
+    pairs = step(pairs) if step and depth > 1 else pairs  # made once, not once a level
     for d in range(1, depth + 1):
         reached = pairs.join(front, pairs["a"] == front["id"]).select(F.col("b").alias("id")).distinct()
         fresh = reached.join(known, "id", "left_anti")
@@ -45,16 +47,18 @@ def neighbours(g: Graph, id_: str) -> DataFrame:
     return out.union(into).distinct().join(g.nodes.select("id", "name"), "id").select("direction", "kind", "id", "name")
 
 
-def impact(g: Graph, targets: DataFrame, depth: int = 2) -> DataFrame:
+def impact(g: Graph, targets: DataFrame, depth: int = 2, step: Step | None = None) -> DataFrame:
     """Nodes within ``depth`` undirected steps of targets given by id, path or name."""
-    t = targets.select(F.lower("target").alias("low"), "target")
-    match = g.nodes.join(F.broadcast(t), (F.col("id") == F.col("target")) | (F.col("path") == F.col("target")) | (F.lower("name") == F.col("low"))).select("id")
-    return distances(pairs_of(g), match, depth).join(g.nodes.select("id"), "id", "left_semi")
+    keys = F.array(F.concat(F.lit("i"), "id"), F.concat(F.lit("p"), "path"), F.concat(F.lit("n"), F.lower("name")))
+    asked = F.array(F.concat(F.lit("i"), "target"), F.concat(F.lit("p"), "target"), F.concat(F.lit("n"), F.lower("target")))
+    wanted = targets.select(F.explode(asked).alias("key")).distinct()
+    match = g.nodes.select("id", F.explode(keys).alias("key")).join(wanted, "key", "left_semi").select("id").distinct()
+    return distances(pairs_of(g, distinct=False), match, depth, step).join(g.nodes.select("id"), "id", "left_semi")
 
 
-def reverse_impact(g: Graph, seeds: DataFrame, depth: int, kinds: tuple[str, ...]) -> DataFrame:
+def reverse_impact(g: Graph, seeds: DataFrame, depth: int, kinds: tuple[str, ...], step: Step | None = None) -> DataFrame:
     """What depends on the seeds, by the number of steps."""
-    return distances(pairs_of(g, "in", kinds), seeds, depth)
+    return distances(pairs_of(g, "in", kinds, distinct=False), seeds, depth, step)
 
 
 def shortest_path(g: Graph, source: str, target: str, step: Step | None = None) -> tuple[str, list[str]]:

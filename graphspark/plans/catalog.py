@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from ..operators import traverse as V
 from ..schema import IMPACT_KINDS, SYMBOL_KINDS
 from ..sources import tables as S
 from . import sql
+from .work import stepper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,19 +33,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def stepper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Cuts lineage between the rounds of an iteration: a checkpoint in the folder all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder:
-        context.setCheckpointDir(folder)
-    elif not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix=f"graphspark-{uuid.uuid4().hex[:6]}-"))
-    return lambda df: df.checkpoint()
-
-
 # --- assembly ------------------------------------------------------------------------------
 
 
@@ -205,14 +191,25 @@ def community_hub_threshold(spark, d):
     return A.community_hub_threshold(S.relational_graph(spark, d), 5)
 
 
-def _view(view: str) -> None:
-    kinds = sql.listed(A.VIEW_KINDS[view])
-    oracle = f"WITH {sql.FULL}, n AS (SELECT id FROM nodes WHERE kind IN {kinds}) SELECT id, kind, src, dst FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)"
-    query(f"workflow_{view}", oracle)(lambda spark, d: A.workflow_view(S.full_graph(spark, d), view).edges)
+def _view(view: str, kinds: str, central: int = 0, edges: bool = True) -> None:
+    """Nodes and edges of a view, with the kinds written out."""
+    chosen = f"SELECT id FROM nodes WHERE kind IN ({kinds})"
+    top = f", {DEGREES}, t AS (SELECT n.id FROM nodes n LEFT JOIN d USING (id) ORDER BY coalesce(degree, 0) DESC, n.id LIMIT {central})" if central else ""
+    among = "UNION ALL SELECT 'edge', e.kind, e.id FROM edges e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)" if edges else ""
+    oracle = f"WITH {sql.FULL}{top}, v AS ({chosen}{' UNION SELECT id FROM t' if central else ''}) SELECT 'node' AS part, kind, id FROM nodes WHERE id IN (SELECT id FROM v) {among}"
+
+    def run(spark, d):
+        found = A.workflow_view(S.full_graph(spark, d), view)
+        return found.nodes.select(F.lit("node").alias("part"), "kind", "id").unionByName(found.edges.select(F.lit("edge").alias("part"), "kind", "id"))
 
+    query(f"workflow_{view}", oracle)(run)
 
-for _name in A.VIEW_KINDS:
-    _view(_name)
+
+_view("tech", "'package', 'module', 'schema', 'table', 'view'", edges=False)
+_view("understand", "'domain', 'flow', 'step', 'concept'", 20)
+_view("learn", "'tour'", 30)
+_view("docs", "'document', 'section', 'concept'")
+_view("pdf", "'document', 'section', 'concept'")
 
 
 @query(
@@ -222,7 +219,7 @@ for _name in A.VIEW_KINDS:
 )
 def workflow_diff(spark, d):
     targets = spark.createDataFrame([("supplier://3",), ("world/NATION_2",), ("ORDER 5",)], "target string")
-    return V.impact(S.relational_graph(spark, d), targets).select("id")
+    return V.impact(S.relational_graph(spark, d), targets, step=stepper(spark)).select("id")
 
 
 @query(
@@ -237,10 +234,16 @@ def changed_removed(spark, d):
     return A.changes(before, after)
 
 
-@query("snapshot_equal", "SELECT true AS same")
+@query(
+    "snapshot_equal",
+    """WITH s AS (SELECT source, doc_id, sha256(text) AS hash, CASE WHEN doc_id % 997 = 1 THEN sha256(text || '!') ELSE sha256(text) END AS later FROM documents)
+    SELECT source, bool_and(hash = later) AS same FROM s GROUP BY source""",
+)
 def snapshot_equal(spark, d):
-    scan = S.load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("hash"))
-    return A.same_scan(scan, scan.orderBy("hash"))
+    """Each source's scan against a later one, in which a document of each 997 has another text."""
+    docs = S.load(spark, d, "documents")
+    path, later = F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 997 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return A.same_scans(docs.select("source", path, F.sha2("text", 256).alias("hash")), docs.select("source", path, F.sha2(later, 256).alias("hash")).orderBy("hash"), "source")
 
 
 @query(
@@ -279,10 +282,28 @@ def import_cycles_scc(spark, d):
     return A.strong_components(spark, pairs, stepper(spark))
 
 
-@query("call_flows")
+def _flows_sql() -> str:
+    """Chains unrolled: six places, the next one the callee not in the chain that calls most."""
+    e = "SELECT DISTINCT src, dst FROM edges WHERE kind IN ('depends_on', 'defines')"
+    known = "SELECT id FROM nodes WHERE kind IN ('type', 'struct', 'interface', 'function', 'method', 'variable', 'module', 'class')"
+    parts = [
+        f"c AS MATERIALIZED (SELECT * FROM ({e}) WHERE src IN ({known}) AND dst IN ({known}))",
+        "o AS MATERIALIZED (SELECT src AS id, count(*) AS n, bool_or(src <> dst) AS others FROM c GROUP BY src)",
+        "w AS MATERIALIZED (SELECT c.src, c.dst, coalesce(o.n, 0) AS n FROM c LEFT JOIN o ON o.id = c.dst)",
+        "f0 AS (SELECT o.id AS seed, [o.id] AS chain FROM o JOIN nodes USING (id) WHERE others ORDER BY CASE WHEN name = 'main' THEN 0 WHEN o.id NOT IN (SELECT dst FROM c) THEN 1 ELSE 2 END, o.n DESC, o.id LIMIT 10)",
+    ]
+    for k in range(1, 6):
+        best = f"SELECT seed, arg_min(dst, (-n, dst)) AS dst FROM f{k - 1} JOIN w ON src = chain[-1] WHERE NOT list_contains(chain, dst) GROUP BY seed"
+        parts.append(f"f{k} AS (SELECT f.seed, CASE WHEN b.dst IS NULL THEN chain ELSE list_append(chain, b.dst) END AS chain FROM f{k - 1} f LEFT JOIN ({best}) b USING (seed))")
+    return f"WITH {sql.RELATIONAL}, {', '.join(parts)} SELECT seed, array_to_string(chain, ' -> ') AS flow FROM f5"
+
+
+@query("call_flows", _flows_sql())
 def call_flows(spark, d):
+    """Definitions and dependencies as calls; every node has a path, its id."""
     g = S.relational_graph(spark, d)
-    return A.call_flows(G.Graph(g.nodes, g.edges.withColumn("kind", F.when(F.col("kind").isin("depends_on", "defines"), "calls").otherwise(F.col("kind")))))
+    calls = g.edges.withColumn("kind", F.when(F.col("kind").isin("depends_on", "defines"), "calls").otherwise("other"))
+    return A.call_flows(G.Graph(g.nodes.withColumn("path", F.col("id")), calls))
 
 
 # --- traversal -----------------------------------------------------------------------------
@@ -308,17 +329,17 @@ def _levels(seeds: str, pairs: str, depth: int) -> str:
 
 @query("bfs_distance_k3", _levels("SELECT 'customer://1' AS id", "SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges", 3))
 def bfs_distance(spark, d):
-    return V.distances(V.pairs_of(S.relational_graph(spark, d)), spark.createDataFrame([("customer://1",)], "id string"), 3, stepper(spark))
+    return V.distances(V.pairs_of(S.relational_graph(spark, d), distinct=False), spark.createDataFrame([("customer://1",)], "id string"), 3, stepper(spark))
 
 
 @query("reverse_impact_k2", _levels("SELECT 'supplier://1' AS id", f"SELECT DISTINCT dst AS a, src AS b FROM edges WHERE kind IN {sql.listed(IMPACT_KINDS)}", 2))
 def reverse_impact(spark, d):
-    return V.reverse_impact(S.relational_graph(spark, d), spark.createDataFrame([("supplier://1",)], "id string"), 2, IMPACT_KINDS)
+    return V.reverse_impact(S.relational_graph(spark, d), spark.createDataFrame([("supplier://1",)], "id string"), 2, IMPACT_KINDS, stepper(spark))
 
 
 @query("impact_undirected_k2", _levels("SELECT 'nation://1' AS id", "SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges", 2))
 def impact_undirected(spark, d):
-    return V.distances(V.pairs_of(S.relational_graph(spark, d)), spark.createDataFrame([("nation://1",)], "id string"), 2)
+    return V.distances(V.pairs_of(S.relational_graph(spark, d), distinct=False), spark.createDataFrame([("nation://1",)], "id string"), 2, stepper(spark))
 
 
 def _path(spark, d, source, target):
@@ -411,8 +432,8 @@ def search_sql(question: str, limit: int) -> str:
     SELECT id, kind, name, greatest(1, CAST(round(score * 1000) AS BIGINT)) AS score FROM r WHERE score > 0 ORDER BY r.score DESC, length(name), id LIMIT {limit}"""
 
 
-query("bm25f_search", search_sql("which small widget is in nation", 25))(lambda spark, d: L.search(spark, S.relational_graph(spark, d).nodes, "which small widget is in nation", 25))
-query("search_with_bonuses", search_sql("brand small ring", 25))(lambda spark, d: L.search(spark, S.relational_graph(spark, d).nodes, "brand small ring", 25))
+query("bm25f_search", search_sql("which small widget is in nation", 25))(lambda spark, d: L.search(spark, S.relational_graph(spark, d).nodes, "which small widget is in nation", 25, stepper(spark)))
+query("search_with_bonuses", search_sql("brand small ring", 25))(lambda spark, d: L.search(spark, S.relational_graph(spark, d).nodes, "brand small ring", 25, stepper(spark)))
 
 
 @query(

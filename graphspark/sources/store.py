@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +12,10 @@ from ..operators.graph import Graph, symbols
 from ..operators.lexical import build_index
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def exists(path: str) -> bool:
+    """Whether a file is there, on any file system that has a URI here."""
+    store, name = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{os.path.abspath(path)}")
+    return store.get_file_info(name).type != fs.FileType.NotFound
 
 
 def save(g: Graph, folder: str) -> None:
@@ -24,7 +28,7 @@ def save(g: Graph, folder: str) -> None:
 def load(spark: SparkSession, *folders: str) -> Graph:
     """The graph in the first of the folders that holds one."""
     for folder in folders:
-        if exists(spark, f"{folder}/nodes/_SUCCESS") and exists(spark, f"{folder}/edges/_SUCCESS"):
+        if exists(f"{folder}/nodes/_SUCCESS") and exists(f"{folder}/edges/_SUCCESS"):
             return Graph(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges"))
     raise FileNotFoundError(", ".join(folders))
 
@@ -44,6 +48,6 @@ def graph_hash(g: Graph) -> str:
 def cached_index(spark: SparkSession, g: Graph, folder: str) -> DataFrame:
     """The lexical index of a graph, built only where its hash has none."""
     path = f"{folder}/index-{graph_hash(g)}"
-    if not exists(spark, f"{path}/_SUCCESS"):
+    if not exists(f"{path}/_SUCCESS"):
         build_index(g.nodes).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

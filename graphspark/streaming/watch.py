@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.analytics import changes
+from ..sources.store import exists
 
 SCAN = "path string, hash string, revision long"
 
@@ -18,12 +19,6 @@ def watch(spark: SparkSession, folder: str, state: str, checkpoint: str, on_chan
     The state of a batch is a folder of its own, named by the batch, so that a batch that runs
     again after a failure gives the same result.
     """
-    jvm = spark._jvm
-
-    def exists(path: str) -> bool:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
     def update(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("path").agg({"revision": "max"}).withColumnRenamed("max(revision)", "revision")
         scan = batch.join(newest, ["path", "revision"]).select("path", "hash").distinct()
