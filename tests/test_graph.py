@@ -9,6 +9,7 @@ import pytest
 from graphspark.functions import text as T
 from graphspark.operators import affected as AF
 from graphspark.operators import analytics as A
+from graphspark.operators import anchors as AN
 from graphspark.operators import community as C
 from graphspark.operators import evaluate as E
 from graphspark.operators import graph as G
@@ -248,6 +249,27 @@ def test_question_to_context(spark):
         Q.affected_context(g, "nobody")
 
 
+def test_anchors(spark):
+    text = """Why does this fail?
+import React, { useState as state, type Ref } from 'lib/react-dom'
+const { readFile: read, join } = require("node-fs")
+from pkg.mod.sub import (alpha,
+   beta as gamma)
+import static com.acme.Tool.runAll;
+import os.path as osp, sys
+call parseConfig and snake_case but not plain Words"""
+    found = AN.anchors(spark, text)
+    assert {"react", "use state", "state", "ref", "read file", "read", "join", "alpha", "beta", "gamma", "run all", "osp", "path", "sys", "parse config", "snake case"} == set(found.names)
+    assert found.inline == ("parse config", "snake case") and found.paths == ("com acme tool", "lib react dom", "node fs", "os path", "pkg mod sub")
+    assert found.count() == 14 + 5 and found.count(True) == 16 + 5 and AN.anchors(spark, "nothing here").count(True) == 0
+    g = graph(spark, [("calls", "a", "b"), ("calls", "c", "b")])
+    nodes = g.nodes.withColumn("name", F.when(F.col("id") == "a", "parseConfig").when(F.col("id") == "b", "config parser for config").otherwise("other")).withColumn("path", F.when(F.col("id") == "c", "src/pkg/mod/x.py"))
+    ranked, _ = Q.ranked_nodes(G.Graph(nodes, g.edges), ["config"], ["config"], AN.Anchors(("parse config",), (), ("pkg mod",)))
+    rows = {r.id: r for r in ranked.collect()}
+    assert rows["a"].anchored and rows["a"].score > 100_000 and not rows["c"].anchored and 20_000 <= rows["c"].score < 100_000 and rows["b"].score < 20_000
+    assert Q.pick_seeds(ranked, {"config": 1.0}, 3) == ["a"]
+
+
 def test_packing_has_two_phases():
     import pandas as pd
 
