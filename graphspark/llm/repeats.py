@@ -253,8 +253,12 @@ def corpus_runs(docs: DataFrame, least: int) -> DataFrame:
     return source.mapInArrow(kernel, "h long, k long, k2 long, n int, at int, span int, off int, c long")
 
 
-def repeated_windows(spark: SparkSession, docs: DataFrame, least: int, group: int = GROUP) -> DataFrame:
-    """(k, k2, n, a, b): byte ranges of texts that are covered by strings that stand elsewhere too."""
+def repeated_windows(spark: SparkSession, docs: DataFrame, least: int, group: int = GROUP, order: DataFrame | None = None) -> DataFrame:
+    """(k, k2, n, a, b): byte ranges of texts that are covered by strings that stand elsewhere too.
+
+    With ``order`` (k, k2, n, d0: the place of each text), only strings that stand before count: in a text
+    of a smaller place, or earlier in the same text.
+    """
     kind = ["h", "off", "span", "c"]
     key = ["k", "k2", "n"]
     found = work_table(spark, corpus_runs(docs, least), "runs")
@@ -267,7 +271,11 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, least: int, group: in
     rest = found.join(F.broadcast(shared.filter("heavy").select("h")), "h", "left_anti").join(shared.filter("NOT heavy").select("h", "mixed"), "h")
     both = found.join(heavy, "h").unionByName(rest)
     occur = work_table(spark, both.groupBy(*kind, "mixed", *key, "at").agg(F.count(F.lit(1)).alias("copies")), "shared-runs")
-    kinds = work_table(spark, occur.groupBy(*kind, "mixed").agg(F.sum("copies").alias("copies"), F.min(F.struct(*key, "at")).alias("first")), "run-kinds")
+    if order is not None:
+        occur = work_table(spark, occur.join(order, key), "placed-runs")
+    rank = F.struct("d0", "at")
+    chosen = [F.min(F.struct(*key, "at")).alias("first")] if order is None else [F.min_by(F.struct(*key, "at"), rank).alias("first"), F.min(rank).alias("rank")]
+    kinds = work_table(spark, occur.groupBy(*kind, "mixed").agg(F.sum("copies").alias("copies"), *chosen), "run-kinds")
     whole = kinds.filter("copies > 1").select(*kind, F.lit(0).alias("a"), F.col("span").alias("b"))
 
     # The bytes of one run of each kind, where an anchor has several kinds.
@@ -292,6 +300,8 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, least: int, group: in
     bytes_of = one.select("t", *key, "runs").mapInArrow(cut, "h long, off int, span int, c long, copies long, content binary").dropDuplicates(kind)
     contents = work_table(spark, bytes_of.join(sizes.filter(F.col("kinds") > group), "h", "left"), "run-bytes")
 
+    only_earlier = order is not None
+
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -308,9 +318,11 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, least: int, group: in
                 return
             # The anchor's own bytes are part of every window, so groups sorted together stay apart.
             part = t.slice(0, end)
-            row, start, _ = factor_starts(part.column("content").to_pylist(), part.column("span").to_pylist(), least)
-            order = np.lexsort((start, row))
-            row, start = row[order], start[order]
+            row, start, earlier = factor_starts(part.column("content").to_pylist(), part.column("span").to_pylist(), least)
+            if only_earlier:
+                row, start = row[earlier], start[earlier]
+            by = np.lexsort((start, row))
+            row, start = row[by], start[by]
             if len(row):
                 opens = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])
                 at = np.flatnonzero(opens)
@@ -327,13 +339,25 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, least: int, group: in
         if held:
             yield from flush(True)
 
-    usual = contents.filter("kinds IS NULL").select(*kind, "content").repartition("h").sortWithinPartitions("h", "off", "c")
+    if only_earlier:  # groups stand in the order of their first places
+        contents = work_table(spark, contents.join(kinds.select(*kind, "rank"), kind), "placed-bytes")
+    usual = contents.filter("kinds IS NULL").repartition("h").sortWithinPartitions("h", *(["rank"] if only_earlier else ["off", "c"])).select(*kind, "content")
     sorted_out = usual.mapInArrow(factors, "h long, off int, span int, c long, a int, b int")
     # Very common anchors: windows are counted, each with the place of the anchor in it.
-    windows = contents.filter("kinds IS NOT NULL").select(*kind, "copies", F.explode(F.sequence(F.lit(0), F.col("span") - 1)).alias("a"), "content")
+    placed = ["rank"] if only_earlier else []
+    windows = contents.filter("kinds IS NOT NULL").select(*kind, *placed, F.explode(F.sequence(F.lit(0), F.col("span") - 1)).alias("a"), "content")
     piece = F.substring(F.col("content"), F.col("a") + 1, F.lit(least))
-    windows = windows.select(*kind, "a", (F.col("off") - F.col("a")).alias("d"), F.xxhash64(piece).alias("w"), F.xxhash64(F.lit(7), piece).alias("w2"))
-    common = windows.groupBy("h", "d", "w", "w2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    windows = windows.select(*kind, *placed, "a", (F.col("off") - F.col("a")).alias("d"), F.xxhash64(piece).alias("w"), F.xxhash64(F.lit(7), piece).alias("w2"))
+    same = windows.groupBy("h", "d", "w", "w2")
+    if only_earlier:
+        head = same.agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rank", "a")).alias("_head")).filter("_n > 1")
+        again = windows.join(head, ["h", "d", "w", "w2"]).filter(F.struct("rank", "a") != F.col("_head")).select(*kind, "a", (F.col("a") + 1).alias("b"))
+        parts = work_table(spark, sorted_out.unionByName(again), "repeated-windows")
+        joined = occur.join(kinds.select(*kind, "rank"), kind).withColumn("_later", F.struct("d0", "at") != F.col("rank"))
+        later = joined.filter("_later").select(*key, F.col("at").alias("a"), (F.col("at") + F.col("span") - 1 + least).alias("b"))
+        own = joined.filter("NOT _later").select(*kind, *key, "at").join(parts, kind)
+        return later.unionByName(own.select(*key, (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") - 1 + least).alias("b")))
+    common = same.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     counted = windows.join(common, ["h", "d", "w", "w2"]).select(*kind, "a", (F.col("a") + 1).alias("b"))
 
     parts = work_table(spark, whole.unionByName(sorted_out).unionByName(counted), "repeated-windows")
@@ -354,17 +378,27 @@ def joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, least: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, least: int = 200, key: str = "doc_id", text: str = "text", keep_first: bool = False) -> DataFrame:
     """One row for each row of ``docs``: the key, ``kept`` (bytes), ``spans`` (removed byte ranges), ``n_bytes``.
 
-    Every byte covered by a string of ``least`` bytes that also starts anywhere else goes.
+    Every byte covered by a string of ``least`` bytes that also starts anywhere else goes; with
+    ``keep_first``, only if it also starts before: in a row of a smaller key (null first), or earlier in
+    the row.  Then of rows with equal texts all but those of the smallest key go as a whole, if they
+    have ``least`` bytes; rows that share key and text count as one.
     """
     if least < GRAM + 8:
         raise ValueError(f"least must be {GRAM + 8} or more")
-    own = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    marks = repeated_windows(spark, own.select("t"), least)
+    place = F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"))
+    own = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"), place.alias("d"))
+    keyed = own.select(key, "t", "d", *text_key(F.col("t")))
+    order = work_table(spark, keyed.groupBy("k", "k2", "n").agg(F.min("d").alias("d0")), "text-places") if keep_first else None
+    marks = repeated_windows(spark, own.select("t"), least, order=order)
     per_text = work_table(spark, marks.groupBy("k", "k2", "n").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "repeated-ranges")
-    both = own.select(key, "t", *text_key(F.col("t"))).join(per_text, ["k", "k2", "n"], "left").select(key, "t", "ranges")
+    both = keyed.join(per_text, ["k", "k2", "n"], "left")
+    if order is not None:
+        every = F.when(F.col("n") >= least, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))
+        both = both.join(order, ["k", "k2", "n"]).withColumn("ranges", F.when(F.col("d") == F.col("d0"), F.col("ranges")).otherwise(every))
+    both = both.select(key, "t", "ranges")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "t"):

@@ -265,7 +265,7 @@ def test_repeats(spark, docs, empty, monkeypatch):
         monkeypatch.setattr(repeats, "HEAVY", heavy)
         marks = repeats.repeated_windows
         original = marks.__defaults__
-        marks.__defaults__ = (group,)
+        marks.__defaults__ = (group, None)
         try:
             rows = got(repeats.digest(repeats.remove_repeats(spark, docs)))
         finally:
@@ -282,6 +282,27 @@ def test_repeats(spark, docs, empty, monkeypatch):
     assert repeats.remove_repeats(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("group", [4096, 1])
+def test_repeats_keep_first(spark, docs, empty, group, monkeypatch):
+    """Of each string of 200 bytes the first place stays: by key, null first, then in the text."""
+    marks = repeats.repeated_windows
+    monkeypatch.setattr(marks, "__defaults__", (group, None))
+    rows = [(i, t or "") for i, t in plain().items()] + [(None, texts()[40]), (2000, texts()[42] + texts()[42])]
+    seen, want = set(), {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if b[k : k + 200] in seen:
+                gone[k : k + 200] = True
+            seen.add(b[k : k + 200])
+        want[i] = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(spark, source, keep_first=True).collect()}
+    assert found == want
+    assert repeats.remove_repeats(spark, empty, keep_first=True).count() == 0
+
+
 def test_factors_of_places():
     """Earlier and later equal prefixes, by the definition."""
     r = random.Random(9)
