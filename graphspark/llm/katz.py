@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import runs, text_slices, work_database, work_table
 from .positional import coded, pack, unpack
 
-BLOCK_TOKENS = 3 << 17
+BLOCK_TOKENS = 5 << 16
 #: N-grams that a message should hold in the mean.
 MESSAGE = 64
 #: Blocks whose load a partition of a table has.
