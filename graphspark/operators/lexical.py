@@ -90,10 +90,10 @@ def score(index: DataFrame, terms: list[str], words: list[str], stats: dict) ->
     return scored.withColumn("score", total).drop("_plain", "_tier")
 
 
-def touched(index: DataFrame, terms: list[str]) -> DataFrame:
-    """Nodes that have some term, whole or as a part, in some field; no other has a score."""
+def touched(terms: list[str]) -> Column:
+    """Whether a node has some term, whole or as a part, in some field; no other has a score."""
     anywhere = F.concat_ws(" ", *[F.array_join(f"{f}_words", " ") for f in FIELDS])
-    return index.filter(reduce(lambda a, b: a | b, [anywhere.contains(t) for t in terms]))
+    return reduce(lambda a, b: a | b, [anywhere.contains(t) for t in terms], F.lit(False))
 
 
 def search(spark: SparkSession, nodes: DataFrame, question: str, limit: int = 25, step: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def search(spark: SparkSession, nodes: DataFrame, question: str, limit: int = 25
     if not terms:
         return index.limit(0).select("id", "kind", "name", F.lit(0).cast("bigint").alias("score"))
     index = step(index) if step else index
-    ranked = score(touched(index, terms), terms, words, statistics(index, terms)).filter("score > 0")
+    ranked = score(index.filter(touched(terms)), terms, words, statistics(index, terms)).filter("score > 0")
     return ranked.orderBy(F.desc("score"), F.length("name"), "id").limit(limit).select("id", "kind", "name", F.greatest(F.lit(1), F.round(F.col("score") * 1000).cast("bigint")).alias("score"))
 
 

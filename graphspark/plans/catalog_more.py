@@ -207,17 +207,23 @@ def affected_targets(spark, d):
     return AF.affected(g, targets, depth=1, limit=4, step=stepper(spark))
 
 
+def stored(spark, d):
+    """The tables' graph, assembled once for the several readings of a question."""
+    g, step = S.relational_graph(spark, d), stepper(spark)
+    return G.Graph(step(g.nodes), step(g.edges))
+
+
 @query("context_pack")
 def context_pack(spark, d):
     """The context of a question, packed under a budget: nodes, then the edges that explain them."""
-    found = Q.retrieve(S.relational_graph(spark, d), "which small widget is called by Order 7", Q.Options(max_nodes=60, budget=1500), step=stepper(spark))
+    found = Q.retrieve(stored(spark, d), "which small widget is called by Order 7", Q.Options(max_nodes=60, budget=1500), step=stepper(spark))
     return found.nodes.select(F.lit("node").alias("part"), "place", "id", "tokens").unionByName(found.edges.select(F.lit("edge").alias("part"), "place", "id", "tokens"))
 
 
 @query("affected_pack")
 def affected_pack(spark, d):
     """What depends on a supplier, packed under a budget."""
-    return Q.affected_context(S.relational_graph(spark, d), "supplier://1", Q.Options(depth=2, budget=1000), step=stepper(spark)).nodes.select("place", "id", "seed", "distance", "tokens")
+    return Q.affected_context(stored(spark, d), "supplier://1", Q.Options(depth=2, budget=1000), step=stepper(spark)).nodes.select("place", "id", "seed", "distance", "tokens")
 
 
 CHECKS = "CASE l_linenumber % 5 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'in_progress' WHEN 2 THEN '' WHEN 3 THEN 'requested' ELSE 'queued' END"
