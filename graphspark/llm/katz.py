@@ -26,7 +26,10 @@ word; other columns, whatever their names, are ignored; an empty table gives an
 
 from __future__ import annotations
 
+import gc
+import itertools
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,10 +147,8 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A hash of the bytes of each word, read from the array's own buffer."""
-    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset).tolist()
-    raw = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
-    return np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)), np.uint64, len(words))
+    """A hash of the bytes of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))
 
 
 def blocks_of(docs: DataFrame, key: str, text: str, held: str, most: int) -> DataFrame:
@@ -218,15 +219,15 @@ def raw_cut(data: np.ndarray, upto: np.ndarray) -> list[bytes]:
 
 def sealed(*parts: bytes) -> bytes:
     """Parts of a message as one compressed value."""
-    body = np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+    body = struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
     return len(body).to_bytes(4, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
 def unsealed(value: bytes) -> list[bytes]:
     body = pa.decompress(memoryview(value)[4:], int.from_bytes(value[:4], "little"), "zstd", asbytes=True)
     n = int.from_bytes(body[:4], "little")
-    ends = np.cumsum([4 + 4 * n, *np.frombuffer(body, "<u4", n, 4)]).tolist()
-    return [body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    ends = list(itertools.accumulate(struct.unpack_from(f"<{n}I", body, 4), initial=4 + 4 * n))
+    return [body[a:b] for a, b in itertools.pairwise(ends)]
 
 
 def opened_all(rows: list[dict]) -> list[tuple[bytes, ...]]:
@@ -256,12 +257,53 @@ def summed(delta: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total - (total[first] - delta[first])[run_of(first, len(delta))]
 
 
-def numbers(parts: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of several codes, and how many each holds."""
-    data = b"".join(parts)
-    last = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) < 0x80)])
-    upto = last[np.cumsum([len(x) for x in parts])] if parts else np.zeros(0, np.int64)
-    return unpack(data), np.diff(upto, prepend=0)
+def numbers(parts: tuple[bytes, ...]) -> np.ndarray:
+    """All numbers of several codes."""
+    return unpack(b"".join(parts))
+
+
+def held_by(parts: tuple[bytes, ...]) -> np.ndarray:
+    """How many numbers each of several codes holds."""
+    ends = np.flatnonzero(np.frombuffer(b"".join(parts), np.uint8) < 0x80)
+    return np.diff(np.searchsorted(ends, np.cumsum([len(x) for x in parts])), prepend=0)
+
+
+def changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before; the first does."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, none negative, in order, and the number of each value among them.
+
+    Where a value and its place fit into 64 bits, both are sorted as one number, which takes a
+    fraction of the time of a sort of places.
+    """
+    low = len(values).bit_length()
+    if int(values.max(initial=0)).bit_length() + low > 64:
+        return np.unique(values, return_inverse=True)
+    both = values.astype(np.uint64)
+    both <<= low
+    both |= np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    place = (both & ((1 << low) - 1)).view(np.int64)
+    both >>= low
+    first = changes(both)
+    at = np.empty(len(values), np.int32)
+    at[place] = np.cumsum(first, dtype=np.int32) - 1
+    return both[first].view(np.int64), at
+
+
+def by_place(place: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``which``, numbers in ascending order, by the place of each and then as given; and their places."""
+    low = len(place).bit_length()
+    both = place[which].astype(np.uint32 if int(place.max(initial=0)).bit_length() + low <= 32 else np.uint64)
+    both <<= low
+    both |= which.astype(both.dtype)
+    both.sort()
+    return (both & ((1 << low) - 1)).astype(np.int64), (both >> low).astype(place.dtype)
 
 
 class Level:
@@ -278,7 +320,7 @@ def numbered(row: dict, n: int, bits: int) -> dict:
     ids, counts = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
     by = np.argsort(bucket_of(vocab, n), kind="stable")
     c, number = opened_all(sorted(row["r1"], key=lambda r: r["bucket"]))
-    counts[by], ids[by] = numbers(c)[0], numbers(number)[0]
+    counts[by], ids[by] = numbers(c), numbers(number)
     ids[counts == 0] = (1 << bits) - 1
     ids, local = np.unique(ids, return_inverse=True)
     count = np.zeros(len(ids), np.int64)
@@ -302,39 +344,40 @@ class Block:
     def level(self, below: Level | None, hot_above: int) -> Level:
         """N-grams of the next order.  ``below``: the order before, with its reply; None for pairs."""
         x = Level()
-        gram, count, key = (below.at, below.count, below.key) if below else (self.token, self.count, self.ids)
+        gram, count, key = (below.at, below.count, self.keys(below)) if below else (self.token, self.count, self.ids)
         x.history = np.zeros(len(gram), np.int32)
         x.history[1:] = gram[:-1] + 1
         x.history[self.offset == 0] = 0
         x.total = np.concatenate([[self.ends], count])
         history_key = np.concatenate([[0], key])
-        width = len(self.ids)
-        grams, at = np.unique(x.history.astype(np.int64) * width + self.token, return_inverse=True)
-        x.at = at.astype(np.int32)
-        h, w = (grams // width).astype(np.int32), (grams % width).astype(np.int32)
+        width = len(self.ids).bit_length()
+        grams, at = distinct(x.history.astype(np.int64) << width | self.token)
+        x.at = at.astype(np.int32, copy=False)
+        h, w = (grams >> width).astype(np.int32), (grams & ((1 << width) - 1)).astype(np.int32)
         del grams, at
-        x.key = (history_key << self.bits)[h] | self.ids[w]
-        lower = np.empty(len(h), np.int32)
-        lower[x.at] = gram
         x.hot = x.total > hot_above
         place = bucket_of(mixed(history_key.astype(np.uint64)), self.n)[h]
         one = np.flatnonzero(x.hot[h])
         place[one] = bucket_of(mixed(history_key[h[one]].astype(np.uint64) ^ mixed(self.ids[w[one]].astype(np.uint64))), self.n)
-        live = np.flatnonzero(x.total[h] > 0)
-        x.order = live[np.argsort(place[live], kind="stable")]
-        x.place, x.h, x.w, x.history_key = place[x.order], h[x.order], w[x.order], history_key
-        x.head = np.flatnonzero((np.diff(x.h, prepend=-1) != 0) | (np.diff(x.place.astype(np.int64), prepend=-1) != 0))
-        x.count_below = count[lower[x.order]]
-        x.base_below = below.base[below.history_of[lower[x.order[x.head]]]] if below else None
-        x.history_of = h
+        x.order, x.place = by_place(place, np.flatnonzero((x.total > 0)[h]))
+        x.h, x.history_key = h[x.order], history_key
+        x.head = np.flatnonzero(changes(x.h) | changes(x.place))
+        x.history_of, x.word_of = h, w
         return x
 
-    def message(self, x: Level) -> pa.RecordBatch | None:
+    def keys(self, x: Level) -> np.ndarray:
+        """The n-grams' numbers in the model, each that of its history and then that of its word."""
+        return (x.history_key << self.bits)[x.history_of] | self.ids[x.word_of]
+
+    def message(self, x: Level, below: Level | None) -> pa.RecordBatch | None:
         """One row for each partition of the order's table that has any of the n-grams."""
         if not len(x.order):
             return None
-        own = np.bincount(x.at[self.train], minlength=len(x.key))[x.order]
-        first = np.flatnonzero(np.diff(x.place.astype(np.int64), prepend=-1))
+        own = np.bincount(x.at[self.train], minlength=len(x.history_of))[x.order]
+        lower = np.empty(len(x.history_of), np.int32)
+        lower[x.at] = below.at if below else self.token
+        lower = lower[x.order]
+        first = np.flatnonzero(changes(x.place))
         upto = np.append(first[1:], len(x.place))
         runs_upto = np.searchsorted(x.head, upto)
         run_first = np.concatenate([[0], runs_upto[:-1]])
@@ -342,24 +385,24 @@ class Block:
         parts = [
             cut(steps(x.history_key[x.h[x.head]], run_first), runs_upto),
             cut(2 * size + x.hot[x.h[x.head]], runs_upto),
-            cut(steps(self.ids[x.w], x.head), upto),
+            cut(steps(self.ids[x.word_of[x.order]], x.head), upto),
             cut(own, upto),
-            cut(x.count_below, upto),
-            cut(x.base_below, runs_upto) if x.base_below is not None else [b""] * len(upto),
+            cut((below.count if below else self.count)[lower], upto),
+            cut(below.base[below.history_of[lower[x.head]]], runs_upto) if below else [b""] * len(upto),
         ]
         return sent(x.place[first], self.block, map(sealed, *parts))
 
     def answered(self, x: Level, replies: list[dict], known: Order) -> Level:
         """Adds counts of the n-grams, bases of the histories, and weights of those that a word needs."""
         c, low, few_of, mass_of = opened_all(sorted(replies, key=lambda r: r["bucket"])) or [()] * 4
-        c = numbers(c)[0]
-        x.count = np.zeros(len(x.key), np.int64)
+        c = numbers(c)
+        x.count = np.zeros(len(x.history_of), np.int64)
         x.count[x.order] = c
         head_h = x.h[x.head]
         least = np.full(len(x.total), CUT + 1)
         least[head_h] = np.frombuffer(b"".join(low), np.uint8)
         wanted = head_h[needed(c, x.head, x.hot[head_h])]
-        few, mass = numbers(few_of)[0].reshape(-1, CUT), np.frombuffer(b"".join(mass_of), float)
+        few, mass = numbers(few_of).reshape(-1, CUT), np.frombuffer(b"".join(mass_of), float)
         hot = np.unique(head_h[x.hot[head_h]])
         spot = np.searchsorted(known.hot, x.history_key[hot])
         least[hot] = least_count(known.few[spot])
@@ -367,17 +410,24 @@ class Block:
         x.weight = np.zeros(len(x.total))
         x.weight[wanted] = known.weight(few, mass, x.base[wanted])
         x.weight[hot] = known.weight(known.few[spot], known.mass[spot], x.base[hot])
-        del x.order, x.place, x.h, x.w, x.head, x.history_key, x.count_below, x.base_below
+        del x.order, x.place, x.h, x.head
         return x
 
     def values(self, levels: list[Level], known: list[Order], lowest: Words) -> np.ndarray:
-        """Probability of every token, from words up to the highest order."""
-        p = lowest.p(self.count)[self.token]
-        for x, k in zip(levels, known, strict=True):
-            seen = k.seen(x.count, x.base[x.history_of])[x.at]
-            # Where nothing is known of a history, the lower order's probability stands.
-            p = np.where(seen > 0, seen, np.where(x.total == 0, 1.0, x.weight)[x.history] * p)
-        return p
+        """Probability of every token.  A lower order is asked only for the tokens that the one above has not seen."""
+
+        def behind(k: int, which: np.ndarray) -> np.ndarray:
+            if not k:
+                return lowest.p(self.count)[self.token[which]]
+            x = levels[k - 1]
+            out = known[k - 1].seen(x.count, x.base[x.history_of])[x.at[which]]
+            if len(rest := np.flatnonzero(out == 0)):
+                # Where nothing is known of a history, the lower order's probability stands.
+                which = which[rest]
+                out[rest] = np.where(x.total == 0, 1.0, x.weight)[x.history[which]] * behind(k - 1, which)
+            return out
+
+        return behind(len(levels), np.arange(len(self.token)))
 
 
 def needed(c: np.ndarray, head: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -425,7 +475,7 @@ def count_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
     for rows in each_bucket(batches):
         hashes, counts = opened_all(rows)
         words, at = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
-        total = np.bincount(at, weights=numbers(counts)[0], minlength=len(words)).astype(np.int64)
+        total = np.bincount(at, weights=numbers(counts), minlength=len(words)).astype(np.int64)
         ids = np.empty(len(words), np.int64)
         ids[np.argsort(-total, kind="stable")] = np.arange(len(words))
         bucket, upto = rows[0]["bucket"], np.cumsum([len(x) // 8 for x in hashes])
@@ -440,21 +490,23 @@ def count_grams(batches: Iterator[pa.RecordBatch], below: Order | None, lowest:
     """The table of one order, bucket after bucket: counts of n-grams and, by history, what weights are made of."""
     for rows in each_bucket(batches):
         keys, lengths, words, own, lower, bases = opened_all(rows)
-        key, per = numbers(keys)
-        key, run = summed(key, per), numbers(lengths)[0]
-        hot, run = run % 2 > 0, run // 2
-        head, own_n = np.cumsum(run) - run, numbers(own)[0]
-        hist, of_run = np.unique(key, return_inverse=True)
-        grams, at = np.unique(of_run[run_of(head, len(own_n))] << 32 | summed(numbers(words)[0], run), return_inverse=True)
+        per, run = held_by(keys), numbers(lengths)
+        key = summed(numbers(keys), per)
+        hot, run = run & 1 > 0, run >> 1
+        head, own_n = np.cumsum(run) - run, numbers(own)
+        hist, of_run = distinct(key)
+        word = summed(numbers(words), run)
+        width = int(word.max(initial=0)).bit_length()
+        grams, at = distinct(np.repeat(of_run.astype(np.int64) << width, run) | word)
         c = np.bincount(at, weights=own_n, minlength=len(grams)).astype(np.int64)
-        of, seen = grams >> 32, c > 0
+        of, seen = grams >> width, c > 0
         low = np.zeros(len(grams), np.int64)
-        low[at] = numbers(lower)[0]
+        low[at] = numbers(lower)
         if below is None:
             p = lowest.p(low)
         else:
             base = np.ones(len(hist), np.int64)
-            base[of_run] = numbers(bases)[0]
+            base[of_run] = numbers(bases)
             p = below.seen(low, base[of])
         few = np.stack([np.bincount(of[c == r], minlength=len(hist)) for r in range(1, CUT + 1)], 1)
         mass = np.bincount(of[seen], weights=p[seen], minlength=len(hist))
@@ -506,7 +558,11 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
     def replied(df: DataFrame, name: str) -> DataFrame:
         """Replies by block, next to the blocks; sums anywhere."""
         to = F.coalesce(F.col("block"), F.xxhash64("bucket", "h"))
-        return stored(df.withColumn("to", to).repartition(parts, "to"), name, "to")
+        out = stored(df.withColumn("to", to).repartition(parts, "to"), name, "to")
+        # The files of a finished shuffle, as large as the messages, stay until the driver collects its garbage.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        return out
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     most = max(BLOCK_TOKENS, math.isqrt(MESSAGE * size // 5))
@@ -566,7 +622,8 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
         def ask(batches: Iterator[pa.RecordBatch], known: tuple = tuple(known)) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 b, levels = opened(row, list(known))
-                if (rows := b.message(b.level(levels[-1] if levels else None, limit))) is not None:
+                below = levels[-1] if levels else None
+                if (rows := b.message(b.level(below, limit), below)) is not None:
                     yield rows
 
         def count(batches: Iterator[pa.RecordBatch], below: Order | None = known[-1] if known else None) -> Iterator[pa.RecordBatch]:
@@ -587,7 +644,7 @@ def scores(spark: SparkSession, docs: DataFrame, held: str, key: str = "doc_id",
             size, each = len(b.sizes), b.count[b.token]
             summed_up = lambda x: np.bincount(b.doc, weights=x, minlength=size)
             own = [pa.array(b.sizes), pa.array(summed_up(each > 0).astype(np.int64)), pa.array(np.full(size, total, np.int64))]
-            own += [pa.array(summed_up(np.log10((each + 1) / (total + vocabulary + 1)))), pa.array(summed_up(np.log10(b.values(levels, known, lowest))))]
+            own += [pa.array(summed_up(np.log10((b.count + 1) / (total + vocabulary + 1))[b.token])), pa.array(summed_up(np.log10(b.values(levels, known, lowest))))]
             yield pa.RecordBatch.from_arrays([row["keys"], pa.array(row["held"], pa.bool_()), *own], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = joined(blocks, replies).mapInArrow(evaluate, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -43,19 +43,22 @@ def words(text: str) -> list[bytes]:
 
 def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Variable-length coding of unsigned numbers below 2**63, seven bits a byte, and where each code ends."""
-    width = np.ones(len(values), np.int64)
     most = int(values.max(initial=0))
+    if most < 0x80:
+        return values.astype(np.uint8), np.arange(1, len(values) + 1)
+    rest = values.astype(np.uint32 if most < 1 << 32 else np.uint64)
+    width = np.ones(len(rest), np.uint8)
     for bits in range(7, 63, 7):
         if most >> bits == 0:
             break
-        width += values >= 1 << bits
-    ends = np.cumsum(width)
-    at = ends - width
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(int(width.max(initial=0))):
-        has = np.flatnonzero(width > k) if k else slice(None)
-        more = (width[has] > k + 1).astype(np.uint8) << 7
-        out[at[has] + k] = ((values[has] >> (7 * k)) & 0x7F).astype(np.uint8) | more
+        width += rest >= 1 << bits
+    ends = np.cumsum(width, dtype=np.int64)
+    out, at = np.empty(int(ends[-1]), np.uint8), ends - width
+    while len(rest):  # only what has further bytes goes on
+        more = rest >= 0x80
+        out[at] = (rest & 0x7F).astype(np.uint8) | more.view(np.uint8) << 7
+        has = np.flatnonzero(more)
+        at, rest = at[has] + 1, rest[has] >> 7
     return out, ends
 
 
@@ -67,12 +70,19 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 0x80)
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
-    width = ends - starts
-    out = (raw[starts] & 0x7F).astype(np.int64)
-    for k in range(1, int(width.max(initial=0)) + 1):
-        has = np.flatnonzero(width >= k)
-        out[has] |= (raw[starts[has] + k].astype(np.int64) & 0x7F) << (7 * k)
+    if len(ends) == len(raw):
+        return raw.astype(np.int64)
+    at = np.concatenate([[0], ends[:-1] + 1])
+    byte, shift = raw[at], 0
+    out = (byte & 0x7F).astype(np.int64)
+    has = np.flatnonzero(byte >= 0x80)
+    at = at[has]
+    while len(has):
+        at, shift = at + 1, shift + 7
+        byte = raw[at]
+        out[has] |= (byte & 0x7F).astype(np.int64) << shift
+        more = np.flatnonzero(byte >= 0x80)
+        has, at = has[more], at[more]
     return out
 
 

@@ -2,11 +2,14 @@
 
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -514,6 +517,62 @@ def test_katz_words_of_slices():
             assert n.tolist() == [len(c) for c in want]
 
 
+def test_katz_places():
+    """Distinct values and orders by place are those of plain sorts, whether or not value and place fit into 64 bits."""
+    r = np.random.default_rng(1)
+    for top in (1, 5, 1 << 20, 1 << 40, 1 << 62):
+        for n in (0, 1, 2, 7, 64, 5000):
+            values = r.integers(0, top, n)
+            found, at = katz.distinct(values)
+            want, spot = np.unique(values, return_inverse=True)
+            assert found.tolist() == want.tolist() and at.tolist() == spot.tolist()
+            place = (values % 300).astype(np.uint16)
+            which = np.flatnonzero(r.random(n) < 0.7)
+            order, places = katz.by_place(place, which)
+            assert order.tolist() == which[np.argsort(place[which], kind="stable")].tolist() and places.tolist() == place[order].tolist()
+    place = np.array([1 << 31, 0, (1 << 32) - 1, 0], np.uint32)
+    assert [x.tolist() for x in katz.by_place(place, np.arange(4))] == [[1, 3, 0, 2], [0, 0, 1 << 31, (1 << 32) - 1]]
+
+
+def test_number_codes():
+    """Codes by hand, at both sides of every width, and back."""
+    edges = [x for k in range(7, 63, 7) for x in ((1 << k) - 1, 1 << k)] + [(1 << 31) - 1, 1 << 32, (1 << 63) - 1, 0]
+
+    def by_hand(x):
+        out = []
+        while x >= 0x80:
+            out.append(x & 0x7F | 0x80)
+            x >>= 7
+        return bytes([*out, x])
+
+    for values in ([], [0], [5, 127], [128], edges, edges[:9], edges[::-1], edges * 50):
+        own = np.array(values, np.int64)
+        data, ends = positional.coded(own)
+        assert data.tobytes() == b"".join(map(by_hand, values)) and ends.tolist() == list(itertools.accumulate(len(by_hand(x)) for x in values))
+        assert positional.unpack(data.tobytes()).tolist() == values
+        parts = katz.cut(own, np.array([len(own) // 3, len(own) // 3, len(own)]))
+        assert katz.held_by(parts).tolist() == [len(own) // 3, 0, len(own) - len(own) // 3] and katz.numbers(parts).tolist() == values
+
+
+def test_katz_frees_messages(spark, docs, monkeypatch):
+    """When texts are scored, no message of an earlier step is on disk any more."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    data = lambda: {p for d in folders for p in Path(d.getPath()).rglob("shuffle_*.data")}
+    before, original, left = data(), katz.work_table, []
+
+    def scored(*args):
+        for _ in range(50):
+            left.append(len({p.name.split("_")[1] for p in data() - before}))
+            if left[-1] <= 5:  # sums of the last order
+                break
+            time.sleep(0.2)
+        return original(*args)
+
+    monkeypatch.setattr(katz, "work_table", scored)
+    katz.scores(spark, katz.hold_out(docs), "held").count()
+    assert left[-1] <= 5, left
+
+
 def test_sketches_by_hand(spark, docs):
     """Exact sketches, likeness, containment and counts from sets of shingle hashes."""
     signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
